@@ -190,7 +190,7 @@ def read_records(spark: SparkSession, base: str) -> DataFrame:
         fs, root = opened(base)
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with fs.open_input_stream(f"{root}/{path}", buffer_size=1 << 20) as stream:
+                with fs.open_input_stream(f"{root}/{path}", compression=None, buffer_size=1 << 20) as stream:
                     docs, starts, parts, held = [], [], [], 0
                     for payload in unframe(stream):
                         doc, width = struct.unpack("<qB", payload[:9])

@@ -37,7 +37,7 @@ class ShardFile:
         fs.create_dir(f"{root}/temp", recursive=True)
         self.partition, self.seq = partition, seq
         self.temp = f"temp/{partition:05d}-{seq:05d}.{uuid.uuid4().hex}{suffix}"
-        self.out = fs.open_output_stream(f"{root}/{self.temp}")
+        self.out = fs.open_output_stream(f"{root}/{self.temp}", compression=None)
         self.bytes = self.records = self.units = 0
         self.sha = hashlib.sha256()
 
