@@ -10,6 +10,12 @@ from .common import scratch, table
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import line_dedup
 
@@ -59,7 +65,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
 
 
-_QUERIES = (op3_line_dedup, op4_decontamination, op5_warc, op6_sentencepiece, op8_token_records, op9_quality_rules)
+_QUERIES = (op1_near_duplicates, op3_line_dedup, op4_decontamination, op5_warc, op6_sentencepiece, op8_token_records, op9_quality_rules)
 QUERIES = {f.__name__: f for f in _QUERIES}
 
 _BLANKS = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
