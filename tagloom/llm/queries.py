@@ -16,6 +16,13 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_density
+
+    out = html_density.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import line_dedup
 
@@ -65,7 +72,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
 
 
-_QUERIES = (op1_near_duplicates, op3_line_dedup, op4_decontamination, op5_warc, op6_sentencepiece, op8_token_records, op9_quality_rules)
+_QUERIES = (op1_near_duplicates, op2_html_text, op3_line_dedup, op4_decontamination, op5_warc, op6_sentencepiece, op8_token_records, op9_quality_rules)
 QUERIES = {f.__name__: f for f in _QUERIES}
 
 _BLANKS = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
