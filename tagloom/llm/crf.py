@@ -182,6 +182,30 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - blanks, symbols, sum(lines_of(text)[1]), repeats
 
 
+def judge(text: str, model: Field, min_share: float) -> tuple:
+    """The base counts, whether they fail, the labels of lines, the content's share and the verdict."""
+    counts = base_counts(text)
+    lines, repeated = lines_of(text)
+    labels = model.decode(masks_of(lines, repeated))
+    whole = sum(map(len, lines))
+    share = sum(len(x) for x, y in zip(lines, labels) if y) / whole if whole else 0.0
+    failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
+    return *counts, failed, labels, share, not failed and share >= min_share
+
+
+def keep(docs: DataFrame, model: Field, text_col: str = "text", min_share: float = MIN_SHARE) -> DataFrame:
+    """The rows of docs, with all their columns, whose text score() would keep."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.emit, model.move))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Field(*sent.value)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            yield batch.filter(pa.array([judge(t.as_py() or "", model, min_share)[-1] for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text", min_share: float = MIN_SHARE) -> DataFrame:
     """One row for each row of docs: the base counts, ``base_failed``, ``line_labels`` (of lines with a word, 1 for content),
     ``content_share`` (of their characters; 0 without any) and ``kept``.
@@ -196,14 +220,7 @@ def score(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str =
         for batch in slices(batches, "text"):
             out: list[list] = [[] for _ in names[1:]]
             for text in batch.column(1).to_pylist():
-                text = text or ""
-                counts = base_counts(text)
-                lines, repeated = lines_of(text)
-                labels = model.decode(masks_of(lines, repeated))
-                whole = sum(map(len, lines))
-                share = sum(len(x) for x, y in zip(lines, labels) if y) / whole if whole else 0.0
-                failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
-                for col, v in zip(out, (*counts, failed, labels, share, not failed and share >= min_share)):
+                for col, v in zip(out, judge(text or "", model, min_share)):
                     col.append(v)
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.list_(pa.int8()), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], names)

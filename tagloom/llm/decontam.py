@@ -25,7 +25,6 @@ from .words import ALNUM, Words, mix64, sequence_hash
 WINDOW = 8
 BLOCK_CHARS = 1 << 20
 LANE = 256
-_STATE = "id {kind}, text string, n_words bigint, spans array<struct<begin:int,end:int>>, items array<string>"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -102,58 +101,74 @@ def compile_patterns(items: list[tuple[str, str | None]], n: int = WINDOW) -> li
     return [Patterns(m, w, hashes) for m, w in sorted(by_length.items())]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row for each row of docs: ``id_col``, ``n_words``, ``spans`` (word ranges inside occurrences, merged) and
-    ``items`` (ids with occurring windows, as strings, sorted).
+_MARKS = {"n_words": "bigint", "spans": "array<struct<begin:int,end:int>>", "items": "array<string>", "full_hits": "bigint"}
+
+
+def annotate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs, every row and column of it, and four columns more (they replace columns of those names): ``n_words``, ``spans``
+    (word ranges inside occurrences, merged), ``items`` (ids with occurring windows, as strings, sorted) and ``full_hits`` (occurrences
+    of windows of n words, not of shorter items).
 
     A null text has no words. A null item id goes by the empty string; items repeated under one id count once.
-    Repeated documents and null ids are kept, other columns dropped. An empty benchmark hits nothing.
+    Repeated documents and nulls are kept. An empty benchmark hits nothing.
     """
     spark = docs.sparkSession
     items = pick(benchmark, item=item_col, text=item_text_col).select(F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-total // block_chars)
-    state = pick(docs, id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
-    kind = state.schema["id"].dataType.simpleString()
-    none = F.array().cast("array<struct<begin:int,end:int>>"), F.array().cast("array<string>")
-    state = state.select("id", "text", F.lit(0).cast("bigint").alias("n_words"), none[0].alias("spans"), none[1].alias("items"))
-    for b in range(max(1, blocks)):
-        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(max(1, blocks))) == b).collect()
+    blocks = max(1, -(-total // block_chars))
+    own = [c for c in docs.columns if c not in _MARKS]
+    state = docs.select(*[F.col(f"`{c}`") for c in own], *[(F.lit(0) if t == "bigint" else F.array()).cast(t).alias(c) for c, t in _MARKS.items()])
+    for b in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
         sent = spark.sparkContext.broadcast(compile_patterns([(r.item, r.text) for r in block], n))
-        state = state.mapInArrow(_scan(sent, b == max(1, blocks) - 1), _STATE.format(kind=kind))
-    return state.drop("text").withColumnRenamed("id", id_col)
+        state = state.mapInArrow(_scan(sent, own.index(text_col), len(own), n), state.schema)
+    return state
+
 
+def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``id_col`` and the columns that annotate() adds, for each row of docs."""
+    return annotate(pick(docs, **{id_col: id_col, "text": text_col}), benchmark, n, **options).drop("text")
 
-def _scan(sent, last: bool):
+
+def _scan(sent, text_at: int, own: int, n: int):
     span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = sent.value
-        for batch in slices(batches, "text"):
-            words = Words(batch.column(1), ALNUM)
-            change = np.zeros(len(words.start) + 1, np.int32)
-            items = [set(x) for x in batch.column(4).to_pylist()]
-            first = words.first
-            for row, old in enumerate(batch.column(3).to_pylist()):
-                for s in old:
-                    change[first[row] + s["begin"]] += 1
-                    change[first[row] + s["end"]] -= 1
-            for p in patterns:
-                for i, ids in p.search(words):
-                    change[i] += 1
-                    change[i + p.m] -= 1
-                    items[np.searchsorted(first, i, "right") - 1].update(ids)
-            hit = np.cumsum(change)[:-1] > 0
-            spans: list[list[dict]] = [[] for _ in items]
-            for row in {int(np.searchsorted(first, i, "right")) - 1 for i in np.flatnonzero(change[:-1] > 0).tolist()}:
-                own = np.diff(np.concatenate([[0], hit[first[row] : first[row + 1]].astype(np.int8), [0]]))
-                spans[row] = [{"begin": a, "end": b} for a, b in zip(np.flatnonzero(own > 0).tolist(), np.flatnonzero(own < 0).tolist())]
-            text = pa.nulls(len(items), pa.string()) if last else batch.column(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(np.diff(first), pa.int64()), pa.array(spans, span), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["id", "text", "n_words", "spans", "items"])
+        for whole in batches:
+            for batch in slices([whole], whole.schema.names[text_at]):
+                words = Words(batch.column(text_at), ALNUM)
+                change = np.zeros(len(words.start) + 1, np.int32)
+                items = [set(x) for x in batch.column(own + 2).to_pylist()]
+                full = batch.column(own + 3).to_pylist()
+                first = words.first
+                for row, old in enumerate(batch.column(own + 1).to_pylist()):
+                    for s in old:
+                        change[first[row] + s["begin"]] += 1
+                        change[first[row] + s["end"]] -= 1
+                for p in patterns:
+                    for i, ids in p.search(words):
+                        change[i] += 1
+                        change[i + p.m] -= 1
+                        row = int(np.searchsorted(first, i, "right")) - 1
+                        items[row].update(ids)
+                        full[row] += p.m == n
+                hit = np.cumsum(change)[:-1] > 0
+                spans: list[list[dict]] = [[] for _ in items]
+                for row in {int(np.searchsorted(first, i, "right")) - 1 for i in np.flatnonzero(change[:-1] > 0).tolist()}:
+                    edge = np.diff(np.concatenate([[0], hit[first[row] : first[row + 1]].astype(np.int8), [0]]))
+                    spans[row] = [{"begin": a, "end": b} for a, b in zip(np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist())]
+                marks = [pa.array(np.diff(first), pa.int64()), pa.array(spans, span), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(full, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:own], *marks], whole.schema.names)
 
     return run
 
 
+def leaked():
+    """A document to leave out: it holds a whole window of some item, or passages of two items, however short these are."""
+    return (F.col("full_hits") > 0) | (F.size("items") >= 2)
+
+
 def n_hit(spans: str = "spans"):
     """Words inside spans."""
     return F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["begin"])

@@ -54,6 +54,15 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_digests(out, "ids", sha256="ids_sha256")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    out = pii.spans(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:4])]
+    return out.select("doc_id", *counts, F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed(F.concat("base", "added")).alias("spans"))
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import records
     from .digests import id_digests
@@ -72,7 +81,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
 
 
-_QUERIES = (op1_near_duplicates, op2_html_text, op3_line_dedup, op4_decontamination, op5_warc, op6_sentencepiece, op8_token_records, op9_quality_rules)
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import license_scan
+
+    out = license_scan.scan(table(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct("found.license"))
+    listed = F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string"), (F.size(x["lacking"]) + F.size(x["extra"])).cast("string"))), ",")
+    restricted = F.arrays_overlap(names, F.array(*map(F.lit, license_scan.RESTRICTED)))
+    return out.select("doc_id", "n_blocks", F.array_join(names, ",").alias("licenses"), listed.alias("findings"), restricted.alias("restricted"))
+
+
+_QUERIES = (op1_near_duplicates, op2_html_text, op3_line_dedup, op4_decontamination, op5_warc, op6_sentencepiece, op7_personal_data, op8_token_records, op9_quality_rules, op10_license_scan)
 QUERIES = {f.__name__: f for f in _QUERIES}
 
 _BLANKS = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
