@@ -141,9 +141,10 @@ def _scan(sent, text_at: int, own: int, n: int):
                 change = np.zeros(len(words.start) + 1, np.int32)
                 items = [set(x) for x in batch.column(own + 2).to_pylist()]
                 full = batch.column(own + 3).to_pylist()
-                first = words.first
+                first, touched = words.first, set()
                 for row, old in enumerate(batch.column(own + 1).to_pylist()):
                     for s in old:
+                        touched.add(row)
                         change[first[row] + s["begin"]] += 1
                         change[first[row] + s["end"]] -= 1
                 for p in patterns:
@@ -151,11 +152,12 @@ def _scan(sent, text_at: int, own: int, n: int):
                         change[i] += 1
                         change[i + p.m] -= 1
                         row = int(np.searchsorted(first, i, "right")) - 1
+                        touched.add(row)
                         items[row].update(ids)
                         full[row] += p.m == n
                 hit = np.cumsum(change)[:-1] > 0
                 spans: list[list[dict]] = [[] for _ in items]
-                for row in {int(np.searchsorted(first, i, "right")) - 1 for i in np.flatnonzero(change[:-1] > 0).tolist()}:
+                for row in touched:
                     edge = np.diff(np.concatenate([[0], hit[first[row] : first[row + 1]].astype(np.int8), [0]]))
                     spans[row] = [{"begin": a, "end": b} for a, b in zip(np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist())]
                 marks = [pa.array(np.diff(first), pa.int64()), pa.array(spans, span), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(full, pa.int64())]

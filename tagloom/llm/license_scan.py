@@ -29,8 +29,8 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("GPL-3.0", "gnu general public 3", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "gnu general public 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "gnu general public 2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("AGPL-3.0", "affero general public 3", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("LGPL-3.0", "lesser general public 3", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "gnu affero general public 3", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("LGPL-3.0", "gnu lesser general public 3", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MPL-2.0", "mozilla public 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "cc by 4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "cc by nc 4.0", "Licensed under CC BY-NC 4.0."),
@@ -125,10 +125,13 @@ class Scanner:
         return lacks, extra
 
     def scan(self, text: str) -> list[tuple]:
-        """(license, start, end, gain, words lacking, words extra) of confirmed blocks; a block names each license once."""
+        """(license, start, end, gain, words lacking, words extra) of confirmed blocks; a block names each license once.
+
+        Of two confirmed licenses the one whose naming words are part of the other's is not meant.
+        """
         out = []
         for a, b in blocks(text):
-            block, named = words(text[a:b]), set()
+            block, named, found = words(text[a:b]), set(), []
             have = set(block)
             for gain, i in self.ranked(block):
                 name, key, own, _ = self.templates[i]
@@ -137,7 +140,8 @@ class Scanner:
                 lacks, extra = self.differences(block, i)
                 if len(lacks) + len(extra) <= MAX_CHANGED * len(own) and not key & set(lacks):
                     named.add(name)
-                    out.append((name, a, b, round(gain, 4), lacks, extra))
+                    found.append((key, (name, a, b, round(gain, 4), lacks, extra)))
+            out += [x for key, x in found if not any(key < other for other, _ in found)]
         return out
 
 

@@ -138,9 +138,9 @@ def votes(text: str, kind: int, start: int, end: int, base: bool) -> int:
         out[2] = YES if re.split(r"[^A-Za-z]+", span.rstrip())[-1].lower() in _TLD else NO
     elif kind == PERSON:
         out[2] = YES if _GIVEN & set(span.split()) else 0
-    out[3] = YES if _CUE.search(before) else 0
+    out[3] = YES if _CUE.search(re.split(r"[.!?]\s|\n", before)[-1]) else 0
     out[4] = NO if _COUNTER.search(before) else 0
-    out[5] = NO if before[-1:].isalnum() or after.isalnum() or before[-1:] in ("_", "/", "=") or after in ("_", "/", "=") and after else YES
+    out[5] = NO if before[-1:].isalnum() or after.isalnum() or before[-1:] in ("_", "/", "=") or after and after in ("_", "/", "=") else 0
     out[6] = NO if digits and len(set(digits)) == 1 else 0
     return kind | sum(v << (4 + 2 * i) for i, v in enumerate(out))
 

@@ -114,3 +114,12 @@ def test_checksums_and_damage():
     for bad in (whole[:-1], whole[:14] + b"X" + whole[15:], b"\x01" + whole[1:]):
         with pytest.raises(ValueError):
             list(records.unframe(io.BytesIO(bad)))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from(list("abcdefghijklmnopqrstuvwxyzßàéîõüÿø÷æ.,")), min_size=1, max_size=25))
+def test_plain_words_match_the_library(word):
+    encoder = records.WordEncoder.of(WORDS)
+    assert encoder.direct
+    found = encoder.plain(word)
+    assert found is None or found == encoder.lib.encode(word, add_special_tokens=False).ids
