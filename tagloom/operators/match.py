@@ -155,7 +155,10 @@ def _folded(sheet, options, arms, encoded):
         ok = (d1 <= options.mismatches1) & (d2 <= options.mismatches2) if good else value.isNotNull()
         return F.when(ok, value).otherwise(F.lit(_NONE))
 
-    return tuple(F.transform(table, lambda s, g=good: F.array_min(F.transform(s["arms"], lambda a: key(s, a, g)))) for good in (True, False))
+    def keys(good: bool) -> Column:
+        return F.transform(table, lambda s: F.array_min(F.transform(s["arms"], lambda a: key(s, a, good))))
+
+    return keys(True), keys(False)
 
 
 def exact_form(sheet: Sheet, options: Options, paired: bool) -> bool:
