@@ -42,17 +42,22 @@ class Encoded:
     def __init__(self):
         self.columns: dict[str, Column] = {}
 
-    def piece(self, read: str, three_prime: bool, length: int, offset: int, width: int) -> Column:
+    def name(self, read: str, three_prime: bool, length: int, offset: int, width: int) -> str:
         name = f"__enc_{read}_{'3' if three_prime else '5'}_{length if three_prime else 0}_{offset}_{width}"
         if name not in self.columns:
             start = F.length(read) - length + 1 + offset if three_prime else F.lit(1 + offset)
             self.columns[name] = F.when(F.length(read) >= length if three_prime else F.length(read) >= offset + width, one_hot(F.col(read), start, width))
-        return F.col(name)
+        return name
 
-    def distance(self, read: str, barcode: Barcode, three_prime: bool = False) -> Column:
-        """Mismatches at informative positions; null where the read is shorter than the barcode."""
-        same = sum((F.bit_count(self.piece(read, three_prime, barcode.length, a, w).bitwiseAND(F.lit(m))) for a, w, m in masks(barcode)), F.lit(0))
-        return F.lit(barcode.informative) - same
+    def piece(self, *key) -> Column:
+        return F.col(self.name(*key))
+
+    def distance(self, read: str, barcode: Barcode, three_prime: bool = False) -> str:
+        """Mismatches at informative positions, as SQL; null where the read is shorter than the barcode."""
+        out = str(barcode.informative)
+        for a, w, m in masks(barcode):
+            out += f" - bit_count({self.name(read, three_prime, barcode.length, a, w)} & {m}L)"
+        return f"({out})"
 
 
 def pin(df: DataFrame, *columns: str) -> DataFrame:
@@ -111,21 +116,22 @@ def match(df: DataFrame, sheet: Sheet, options: Options, paired: bool) -> DataFr
 
 
 def _unrolled(sheet, options, arms, encoded):
+    """The keys of all samples, written as one SQL expression: building them call by call would take longer than many a query."""
     eligible, raw = [], []
     for s in sheet.samples:
         good, any_ = [], []
         for arm, read1, read2, end in arms:
             d1 = encoded.distance(read1, s.barcode1)
-            ok, total = d1 <= options.mismatches1, d1
+            ok, total = f"{d1} <= {options.mismatches1}", d1
             if read2:
                 d2 = encoded.distance(read2, s.barcode2, end)
-                ok, total = ok & (d2 <= options.mismatches2), d1 + d2
-            key = total.cast("bigint") * F.lit(STEP) + F.lit(arm * HALF + s.id)
-            good.append(F.when(ok, key).otherwise(F.lit(_NONE)))
-            any_.append(F.coalesce(key, F.lit(_NONE)))
-        eligible.append(F.least(*good) if len(good) > 1 else good[0])
-        raw.append(F.least(*any_) if len(any_) > 1 else any_[0])
-    return F.array(*eligible), F.array(*raw)
+                ok, total = f"{ok} AND {d2} <= {options.mismatches2}", f"{d1} + {d2}"
+            key = f"CAST({total} AS BIGINT) * {STEP}L + {arm * HALF + s.id}L"
+            good.append(f"CASE WHEN {ok} THEN {key} ELSE {_NONE}L END")
+            any_.append(f"coalesce({key}, {_NONE}L)")
+        eligible.append(f"least({', '.join(good)})" if len(good) > 1 else good[0])
+        raw.append(f"least({', '.join(any_)})" if len(any_) > 1 else any_[0])
+    return F.expr(f"array({', '.join(eligible)})"), F.expr(f"array({', '.join(raw)})") if options.min_delta else None
 
 
 def _folded(sheet, options, arms, encoded):
