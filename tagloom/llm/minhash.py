@@ -10,7 +10,9 @@
    component, where a link could change nothing. Survivors are verified; components follow again.
 
 So no pair that could join two components is left untested, and copies never expand into all pairs.
-With 40 bands of 6 rows, a pair of similarity 0.8 shares no band with probability 5e-6.
+With 40 bands of 6 rows, a pair of similarity 0.8 shares no band with probability 5e-6. The longer a
+signature, the fewer pairs just below the threshold are left to verify: a text that is nearly but not quite like
+many copies has to be held against each of them.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ from .words import NOT_SPACE, Words, mix64, sequence_hash
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
-MISS = 1e-6
-BATCH = 24
+#: Permutations of a signature; the first bands * rows make the band keys.
+LENGTH = 720
+MISS = 1e-3
+BATCH = 48
 BLOCK = 256
 #: Pairs of one text that a task verifies at most; more are dealt to several tasks.
 MEMBERS = 256
@@ -48,23 +52,23 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
 
 
 class Hasher:
-    def __init__(self, bands: int, rows: int, seed: int = 1):
+    def __init__(self, bands: int, rows: int, length: int, seed: int = 1):
         rng = np.random.default_rng(seed)
         self.bands, self.rows = bands, rows
-        self.mul = (rng.integers(0, 1 << 32, bands * rows, np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
-        self.add = rng.integers(0, 1 << 32, bands * rows, np.uint64).astype(np.uint32)[:, None]
+        self.mul = (rng.integers(0, 1 << 32, length, np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
+        self.add = rng.integers(0, 1 << 32, length, np.uint64).astype(np.uint32)[:, None]
 
     def minima(self, s: np.ndarray) -> np.ndarray:
         x = (s >> np.uint64(32)).astype(np.uint32)
         out = np.full(len(self.mul), 0xFFFFFFFF, np.uint32)
-        for a in range(0, len(x), 2048):
-            v = self.mul * x[a : a + 2048]
+        for a in range(0, len(x), 256):  # what stays in a core's cache
+            v = self.mul * x[a : a + 256]
             v += self.add
             np.minimum(out, v.min(axis=1), out=out)
         return out
 
     def keys(self, minima: np.ndarray) -> np.ndarray:
-        m = minima.reshape(-1, self.bands, self.rows).astype(np.uint64)
+        m = minima[:, : self.bands * self.rows].reshape(-1, self.bands, self.rows).astype(np.uint64)
         out = np.broadcast_to(np.arange(self.bands, dtype=np.uint64), m.shape[:2])
         for r in range(self.rows):
             out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + m[:, :, r])
@@ -108,15 +112,15 @@ def _matrix(col: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+def signatures(docs: DataFrame, k: int, bands: int, rows: int, length: int) -> DataFrame:
     """id, n (size of the set), ka, kb (a key of the set), bands and sig of every row of docs (id, text)."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(bands, rows)
+        hasher = Hasher(bands, rows, length)
         for batch in slices(batches, "text"):
             words = Words(batch.column(1), NOT_SPACE)
-            n, ka, kb, minima = [], [], [], np.zeros((batch.num_rows, bands * rows), np.uint32)
+            n, ka, kb, minima = [], [], [], np.zeros((batch.num_rows, length), np.uint32)
             for r, (a, b) in enumerate(zip(words.first[:-1], words.first[1:])):
                 s = shingles(words.hash[a:b], k)
                 n.append(len(s))
@@ -148,7 +152,7 @@ def prune(pairs: DataFrame, reps: DataFrame, length: int, threshold: float, miss
             yield pa.RecordBatch.from_arrays([batch.column(0).take(on), batch.column(1).take(on)], ["a", "b"])
 
     kind = reps.schema["id"].dataType.simpleString()
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b")
+    both = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "sig_a", "sig_b")
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
@@ -161,7 +165,8 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
     wanted = dealt.select(F.col("b").alias("id"), "a", "part", F.lit(1).alias("role")).unionByName(dealt.select(F.col("a").alias("id"), "a", "part", F.lit(0).alias("role")).distinct())
-    texts = wanted.join(docs, "id").select("a", "part", "role", "id", "text").repartition("a", "part").sortWithinPartitions("a", "part", "role")
+    # The same join at every size: one shuffle of the texts, none to the driver.
+    texts = wanted.join(docs.hint("merge"), "id").select("a", "part", "role", "id", "text").repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = None, []
@@ -263,16 +268,16 @@ def _pairs(rows: pa.Table, bounds: Bounds, length: int, threshold: float) -> pa.
     return pa.RecordBatch.from_arrays([pa.compute.min_element_wise(p, q), pa.compute.max_element_wise(p, q)], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, length: int = LENGTH, miss: float = MISS) -> DataFrame:
     """``id_col``, ``n_shingles``, ``component_id`` and ``kept`` for each row of docs.
 
     Words are lower-cased in A-Z and split at ASCII white space. A text without words, or null, is linked with nothing. A row
     without id can't be named by a link: its component is null, and it is kept. Repeated rows share a component
     and their ``kept``; other columns are dropped. An empty table gives an empty one.
     """
-    spark, length, percent = docs.sparkSession, bands * rows, round(100 * threshold)
+    spark, percent = docs.sparkSession, round(100 * threshold)
     texts = pick(docs, id=id_col, text=text_col).select("id", F.col("text").cast("string"))
-    sigs, _ = materialize(spark, signatures(texts, k, bands, rows), "signatures")
+    sigs, _ = materialize(spark, signatures(texts, k, bands, rows, length), "signatures")
     named = sigs.where("id is not null and n > 0")
     first = named.groupBy("ka", "kb", "n").agg(F.min(F.struct("id", "bands", "sig")).alias("r"))
     reps, _ = materialize(spark, first.select("ka", "kb", "n", "r.*"), "classes")
