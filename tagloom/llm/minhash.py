@@ -1,7 +1,7 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-1. Each text's set of word shingles gives a 128-bit key of the set, band keys and a signature of one
-   byte for each permutation. Texts of equal sets form a class; only its smallest id goes on.
+1. Each text's set of word shingles gives a 128-bit key of the set, band keys and a signature of four
+   bits for each permutation. Texts of equal sets form a class; only its smallest id goes on.
 2. Classes that share a band key are candidates. Each is first paired with the smallest id of its bucket, one pair for each member.
    Signatures of a pair are compared batch by batch; a pair goes once the posterior probability
    that its similarity reaches the threshold falls below ``MISS``. Survivors are verified on the full sets.
@@ -34,9 +34,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
 #: Permutations of a signature; the first bands * rows make the band keys.
-LENGTH = 720
+LENGTH = 1280
 MISS = 1e-3
-BATCH = 48
+BATCH = 64
 BLOCK = 256
 #: Pairs of one text that a task verifies at most; more are dealt to several tasks.
 MEMBERS = 256
@@ -75,18 +75,21 @@ class Hasher:
         return out.view(np.int64)
 
     def bytes(self, minima: np.ndarray) -> np.ndarray:
-        return ((minima * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+        """Four bits of each minimum, two minima to a byte."""
+        four = ((minima * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.uint8)
+        return four[:, ::2] | four[:, 1::2] << 4
 
 
 def least_matches(n: int, threshold: float, miss: float) -> int:
-    """The fewest matches in n signature bytes that leave similarity >= threshold a posterior of at least ``miss``.
+    """The fewest matches in n signature entries that leave similarity >= threshold a posterior of at least ``miss``.
 
-    A byte matches with probability p = s + (1 - s) / 256; with a uniform prior, P(p >= q | m of n) is
+    An entry of four bits matches with probability p = s + (1 - s) / 16; with a uniform prior, P(p >= q | m of n) is
     P(Bin(n + 1, q) <= m).
     """
-    q, tail = threshold + (1 - threshold) / 256, 0.0
+    q, tail = min(threshold + (1 - threshold) / 16, 1 - 1e-12), 0.0
     for m in range(n + 1):
-        tail += math.comb(n + 1, m) * q**m * (1 - q) ** (n + 1 - m)
+        ways = math.lgamma(n + 2) - math.lgamma(m + 1) - math.lgamma(n + 2 - m)
+        tail += math.exp(ways + m * math.log(q) + (n + 1 - m) * math.log1p(-q))
         if tail >= miss:
             return m
     return n
@@ -102,7 +105,8 @@ class Bounds:
         on = np.arange(len(i))
         m = np.zeros(len(i), np.int32)
         for (a, b), least in zip(self.steps, self.least):
-            m = m + (left[i[on], a:b] == right[j[on], a:b]).sum(1)
+            apart = left[i[on], a // 2 : b // 2] ^ right[j[on], a // 2 : b // 2]
+            m = m + ((apart & 15) == 0).sum(1) + (apart < 16).sum(1)
             go = m >= least
             on, m = on[go], m[go]
         return on
@@ -148,7 +152,7 @@ def prune(pairs: DataFrame, reps: DataFrame, length: int, threshold: float, miss
         bounds = Bounds(length, threshold, miss)
         for batch in batches:
             at = np.arange(batch.num_rows)
-            on = pa.array(bounds.survivors(_matrix(batch.column(2), length), _matrix(batch.column(3), length), at, at))
+            on = pa.array(bounds.survivors(_matrix(batch.column(2), length // 2), _matrix(batch.column(3), length // 2), at, at))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(on), batch.column(1).take(on)], ["a", "b"])
 
     kind = reps.schema["id"].dataType.simpleString()
@@ -246,7 +250,7 @@ def _last_group(rows: pa.Table) -> int:
 def _pairs(rows: pa.Table, bounds: Bounds, length: int, threshold: float) -> pa.RecordBatch:
     starts = np.append(_group_starts(rows), len(rows))
     component, n, big, t = (rows.column(c).to_numpy() for c in ("component", "n", "big", "t"))
-    sig = _matrix(rows.column("sig").combine_chunks(), length)
+    sig = _matrix(rows.column("sig").combine_chunks(), length // 2)
     a, b = [], []
     for x, y in zip(starts[:-1], starts[1:]):
         if t[x] == 0:
