@@ -9,6 +9,7 @@ A second file of the same name with ``.idx`` holds the offset of each record (un
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from .common import SLICE_BYTES, pick, slices
 from .shards import MANIFEST, ShardFile, manifest_batch, opened, publish
 
 FILE_BYTES = 128 << 20
-TABLE_WORDS = 500_000
+TABLE_WORDS = 800_000
 NO_ID = -(1 << 63)
 
 # --- checksums ---------------------------------------------------------------------------------
@@ -96,6 +97,8 @@ def unframe(stream) -> Iterator[bytes]:
 # --- encoding ----------------------------------------------------------------------------------
 
 _encoders: dict[str, "WordEncoder"] = {}
+#: Letters that normalization and lower-casing leave as they are.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -120,6 +123,22 @@ class WordEncoder:
         self.special = {t["content"][:2].encode() for t in spec["added_tokens"]}
         self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
         self.table: dict[bytes, bytes] = {}
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letter = {b: chr(b) for b in printed} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in printed)}
+        ids = lambda t: self.lib.encode(t, add_special_tokens=False).ids
+        self.stops = {c: ids(c) for c in ".,"}
+        self.direct = self.by_word and all(self.plain(x) == ids(x) for x in ("a", "word", "the.", "straße,", "coração", "x,", "unlikelihoodness."))
+
+    def plain(self, word: str) -> list[int] | None:
+        """The ids of a word of Latin small letters, with or without a stop, from the library's model itself: such a word is one pre-token, a
+        stop another, so the library's slow splitting can be spared. None for other words."""
+        stop = self.stops.get(word[-1:], [])
+        letters = word[:-1] if stop else word
+        if not _PLAIN.fullmatch(letters):
+            return None
+        if not letters.isascii():
+            letters = "".join(map(self.letter.__getitem__, letters.encode()))
+        return [t.id for t in self.lib.model.tokenize(letters)] + stop
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -134,7 +153,12 @@ class WordEncoder:
         docs = [[] if w else t.translate(_LOWER).replace(b"\n", b" ").split(b" ") for t, w in zip(raw, whole)]
         if len(self.table) > TABLE_WORDS:
             self.table = {}
-        new = list({w for d in docs for w in d if w not in self.table})
+        new = []
+        for w in {w for d in docs for w in d if w not in self.table}:
+            if self.direct and (found := self.plain(w.decode())) is not None:
+                self.table[w] = struct.pack(f"<{len(found)}{'H' if self.width == 2 else 'I'}", *found)
+            else:
+                new.append(w)
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
             for w, e in zip(part, self.lib.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
