@@ -6,7 +6,7 @@ them) whose segmentations are independent. Each distinct chunk is segmented and
 the library; ids and strings are joined back by position. A model without that property is
 refused, as is one that rewrites text before it segments it.
 
-Memory: a worker's table starts anew once its chunks pass ``TABLE_BYTES``.
+Memory: a task's table starts anew once its chunks pass ``TABLE_BYTES``, and goes with the task.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .common import pick, slices
 MARK = "▁"
 TABLE_BYTES = 96 << 20
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}]*")
-_tables: dict[str, "ChunkTable"] = {}
+_processors: dict = {}
 
 
 def splits_at_markers(processor) -> bool:
@@ -36,22 +36,19 @@ def splits_at_markers(processor) -> bool:
 
 class ChunkTable:
     def __init__(self, model: str):
-        import sentencepiece
-
-        self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        if not splits_at_markers(self.sp):
-            raise ValueError("pieces of this model can cross white space markers")
+        if model not in _processors:
+            import sentencepiece
+
+            sp = sentencepiece.SentencePieceProcessor(model_file=model)
+            if not splits_at_markers(sp):
+                raise ValueError("pieces of this model can cross white space markers")
+            _processors[model] = sp
+        self.sp = _processors[model]
         self.first, self.last = self.sp.bos_id(), self.sp.eos_id()
         self.ids: dict[str, bytes] = {}
         self.words: dict[str, str] = {}
         self.held = 0
 
-    @classmethod
-    def of(cls, model: str) -> "ChunkTable":
-        if model not in _tables:
-            _tables[model] = cls(model)
-        return _tables[model]
-
     def learn(self, chunks: list[str]) -> None:
         """Add the chunks that the table lacks; starts anew when it is full."""
         if self.held > TABLE_BYTES:
@@ -80,7 +77,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable.of(model)
+        table = ChunkTable(model)
         head, tail = (np.array([i] if ends else [], "<i4").tobytes() for i in (table.first, table.last))
         for batch in slices(batches, "text"):
             docs = [table.chunks(t or "") for t in batch.column(1).to_pylist()]

@@ -34,7 +34,7 @@ TEXTS = st.text(st.sampled_from(list("ab eéÉ▁ \n\t.,'sİ<|>😀　你1")),
 @settings(max_examples=300, deadline=None)
 @given(TEXTS)
 def test_chunks_join_to_the_library_result(text):
-    table = piece_table.ChunkTable.of(PIECES)
+    table = piece_table.ChunkTable(PIECES)
     chunks = table.chunks(text)
     table.learn(chunks)
     ids = table.sp.encode(text)
