@@ -7,7 +7,8 @@
    that its similarity reaches the threshold falls below ``MISS``. Survivors are verified on the full sets.
 3. Verified links give components. A bucket that still holds several components has pairs left: members outside its
    largest component are compared with it and with each other, in blocks of ``BLOCK``, except within a
-   component, where a link could change nothing. Survivors are verified; components follow again.
+   component, where a link could change nothing. Members of surviving pairs, not the pairs, go on to the
+   block's task with their texts, where full sets confirm the links; components follow again.
 
 So no pair that could join two components is left untested, and copies never expand into all pairs.
 With 40 bands of 6 rows, a pair of similarity 0.8 shares no band with probability 5e-6. The longer a
@@ -38,6 +39,8 @@ LENGTH = 1280
 MISS = 1e-3
 BATCH = 64
 BLOCK = 256
+#: Shingles of a block; one of longer texts has fewer of them.
+MASS = 1 << 20
 #: Pairs of one text that a task verifies at most; more are dealt to several tasks.
 MEMBERS = 256
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -197,16 +200,17 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
 
 
 def across(buckets: DataFrame, labels: DataFrame, reps: DataFrame, length: int, threshold: float, miss: float) -> DataFrame:
-    """Pairs (a, b) that share a bucket but not a component, and that signatures don't rule out.
+    """The members of each block task that share a bucket with a member of another component which signatures don't rule out.
 
-    buckets: key, id; labels: id, component. In a bucket of several components, its largest is the
-    majority; the others are compared with it and with each other, block by block.
+    buckets: key, id, n; labels: id, component. In a bucket of several components, its largest is the
+    majority; the others are compared with it and with each other, block by block. A pair counts in the
+    first bucket that it shares. At most the task's own rows come out, whatever the number of pairs.
     """
-    kind = reps.schema["id"].dataType.simpleString()
-    named = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    counts = named.groupBy("key", "component").agg(F.count("*").alias("c"))
-    split = counts.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("top")).where("kinds > 1")
-    split = split.select("key", F.col("top.component").alias("top"), F.ceil(F.col("top.c") / BLOCK).alias("major"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).alias("minor"))
+    named = buckets.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    counts = named.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("mass"))
+    split = counts.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("c").alias("c"), F.sum("mass").alias("mass"), F.max(F.struct("c", "component", "mass")).alias("top")).where("kinds > 1")
+    blocks = lambda c, mass: F.ceil(F.greatest(c / BLOCK, mass / MASS))
+    split = split.select("key", F.col("top.component").alias("top"), blocks(F.col("top.c"), F.col("top.mass")).alias("major"), blocks(F.col("c") - F.col("top.c"), F.col("mass") - F.col("top.mass")).alias("minor"))
     rows = named.join(split, "key").withColumn("big", F.col("component") == F.col("top"))
     mine = F.pmod(F.xxhash64("id", "key"), F.when(F.col("big"), F.col("major")).otherwise(F.col("minor")))
     rows = rows.withColumn("block", mine)
@@ -215,61 +219,127 @@ def across(buckets: DataFrame, labels: DataFrame, reps: DataFrame, length: int,
     with_major = F.transform(F.when(F.col("big"), to("minor")).otherwise(to("major")), lambda x: F.struct(F.lit(0).alias("t"), F.when(F.col("big"), F.col("block")).otherwise(x).alias("i"), F.when(F.col("big"), x).otherwise(F.col("block")).alias("j")))
     with_minor = F.when(F.col("big"), F.array().cast("array<struct<t:int,i:bigint,j:bigint>>")).otherwise(F.transform(to("minor"), lambda x: F.struct(F.lit(1).alias("t"), F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j"))))
     tasks = rows.select("key", "id", "component", "big", F.explode(F.concat(with_major, with_minor)).alias("task")).select("key", "task.*", "id", "component", "big")
-    full = tasks.join(reps.select("id", "n", "sig"), "id").select("key", "t", "i", "j", "id", "component", "big", "n", "sig").repartition("key", "t", "i", "j").sortWithinPartitions("key", "t", "i", "j")
+    full = tasks.join(reps.select("id", "n", "bands", "sig"), "id").select(*_TASK, "id", "component", "big", "n", "bands", "sig").repartition(*_TASK).sortWithinPartitions(*_TASK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = Bounds(length, threshold, miss)
         rest = None
         for batch in batches:
             whole = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
-            cut = _last_group(whole)
-            rest = whole.slice(cut)
-            if cut:
-                yield _pairs(whole.slice(0, cut), bounds, length, threshold)
-        if rest is not None and len(rest):
-            yield _pairs(rest, bounds, length, threshold)
+            starts = _group_starts(whole)
+            rest = whole.slice(starts[-1]) if len(starts) else None
+            for x, y in zip(starts[:-1], starts[1:]):
+                yield from _touched(whole.slice(x, y - x), bounds, threshold)
+        if rest is not None:
+            yield from _touched(rest, bounds, threshold)
+
+    return full.mapInArrow(run, full.schema)
+
 
-    return full.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+_TASK = ("key", "t", "i", "j")
 
 
 def _group_starts(rows: pa.Table) -> np.ndarray:
     """Where the groups of equal (key, t, i, j) start."""
     new = np.zeros(len(rows), bool)
     new[:1] = True
-    for c in ("key", "t", "i", "j"):
+    for c in _TASK:
         v = rows.column(c).to_numpy()
         new[1:] |= v[1:] != v[:-1]
     return np.flatnonzero(new)
 
 
-def _last_group(rows: pa.Table) -> int:
-    starts = _group_starts(rows)
-    return int(starts[-1]) if len(starts) else 0
+def _candidates(rows: pa.Table, bounds: Bounds, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of one task's pairs to verify: of two components, first met in this bucket, not ruled out by signatures."""
+    component, n, big = (rows.column(c).to_numpy() for c in ("component", "n", "big"))
+    if rows.column("t")[0].as_py() == 0:
+        p, q = np.meshgrid(np.flatnonzero(big), np.flatnonzero(~big), indexing="ij")
+        i, j = p.ravel(), q.ravel()
+    else:
+        i, j = np.triu_indices(len(rows), 1)
+    ok = (component[i] != component[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-6)
+    i, j = i[ok], j[ok]
+    if not len(i):
+        return i, j
+    sig = _matrix(rows.column("sig").combine_chunks(), bounds.steps[-1][1] // 2)
+    on = bounds.survivors(sig, sig, i, j)
+    i, j = i[on], j[on]
+    bands = np.array(rows.column("bands").to_pylist(), np.int64)
+    key, first = rows.column("key")[0].as_py(), np.zeros(len(i), bool)
+    for x in range(0, len(i), 4096):
+        p = bands[i[x : x + 4096]]
+        at = (p == bands[j[x : x + 4096]]).argmax(axis=1)
+        first[x : x + 4096] = p[np.arange(len(p)), at] == key
+    return i[first], j[first]
+
+
+def _touched(rows: pa.Table, bounds: Bounds, threshold: float) -> Iterator[pa.RecordBatch]:
+    i, j = _candidates(rows, bounds, threshold)
+    if len(i):
+        yield from rows.take(pa.array(np.union1d(i, j))).combine_chunks().to_batches()
+
+
+def joined(members: DataFrame, docs: DataFrame, k: int, length: int, threshold: float, miss: float, percent: int) -> DataFrame:
+    """Links (a, b) between components among the members of each block task, confirmed on full sets.
+
+    members: as from across(); docs: id, text. Two components that a link of the task has joined
+    need no second link there, so a task gives fewer links than it has members. A task holds the sets of two blocks.
+    """
+    kind = members.schema["id"].dataType.simpleString()
+    texts = members.join(docs.hint("merge"), "id").select(*members.columns, "text").repartition(*_TASK).sortWithinPartitions(*_TASK, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = Bounds(length, threshold, miss)
+        task, held, sets = None, [], []
+        for batch in slices(batches, "text"):
+            words = Words(batch.column(batch.num_columns - 1), NOT_SPACE)
+            rows = pa.Table.from_batches([batch]).drop_columns(["text"])
+            starts = np.append(_group_starts(rows), len(rows))
+            for x, y in zip(starts[:-1], starts[1:]):
+                now = tuple(rows.column(c)[x].as_py() for c in _TASK)
+                if task is not None and now != task:
+                    yield from _confirmed(pa.concat_tables(held).combine_chunks(), sets, bounds, threshold, percent)
+                    held, sets = [], []
+                task = now
+                held.append(rows.slice(x, y - x))
+                sets.extend(shingles(words.hash[words.first[r] : words.first[r + 1]], k) for r in range(x, y))
+        if held:
+            yield from _confirmed(pa.concat_tables(held).combine_chunks(), sets, bounds, threshold, percent)
+
+    return texts.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _confirmed(rows: pa.Table, sets: list[np.ndarray], bounds: Bounds, threshold: float, percent: int) -> Iterator[pa.RecordBatch]:
+    """Verified links of one task, until its components are joined as far as they can be."""
+    ids = rows.column("id").to_pylist()
+    # An id's row comes once for each of its repeated rows in the documents.
+    once = [r for r in range(len(ids)) if not r or ids[r] != ids[r - 1] or not np.array_equal(sets[r], sets[r - 1])]
+    rows, sets, ids = rows.take(pa.array(once)), [sets[r] for r in once], [ids[r] for r in once]
+    component = rows.column("component").to_pylist()
+    root = {c: c for c in component}
 
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
 
-def _pairs(rows: pa.Table, bounds: Bounds, length: int, threshold: float) -> pa.RecordBatch:
-    starts = np.append(_group_starts(rows), len(rows))
-    component, n, big, t = (rows.column(c).to_numpy() for c in ("component", "n", "big", "t"))
-    sig = _matrix(rows.column("sig").combine_chunks(), length // 2)
     a, b = [], []
-    for x, y in zip(starts[:-1], starts[1:]):
-        if t[x] == 0:
-            at = np.arange(x, y)
-            p, q = np.meshgrid(at[big[x:y]], at[~big[x:y]], indexing="ij")
-            i, j = p.ravel(), q.ravel()
-        else:
-            i, j = np.triu_indices(y - x, 1)
-            i, j = i + x, j + x
-        ok = (component[i] != component[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-6)
-        i, j = i[ok], j[ok]
-        if len(i):
-            on = bounds.survivors(sig, sig, i, j)
-            a.append(i[on])
-            b.append(j[on])
-    ids = rows.column("id").combine_chunks()
-    i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-    p, q = ids.take(pa.array(i)), ids.take(pa.array(j))
-    return pa.RecordBatch.from_arrays([pa.compute.min_element_wise(p, q), pa.compute.max_element_wise(p, q)], ["a", "b"])
+    for i, j in zip(*(v.tolist() for v in _candidates(rows, bounds, threshold))):
+        p, q = find(component[i]), find(component[j])
+        if p == q:
+            continue
+        s, t = sorted((sets[i], sets[j]), key=len)
+        if not len(s):
+            continue
+        common = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+        if 100 * common >= percent * (len(s) + len(t) - common):
+            root[p] = q
+            a.append(ids[i])
+            b.append(ids[j])
+    if a:
+        kind = rows.column("id").type
+        yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, length: int = LENGTH, miss: float = MISS) -> DataFrame:
@@ -294,11 +364,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links, _ = materialize(spark, verify(tested, texts, k, percent), "verified")
     labels = components(links)
 
-    more = across(buckets.select("key", "id"), labels, reps, length, threshold, miss).join(tested, ["a", "b"], "left_anti")
-    more, more_path = materialize(spark, more, "pairs")
-    found, _ = materialize(spark, verify(more, texts, k, percent), "verified")
+    members, members_path = materialize(spark, across(buckets.select("key", "id", "n"), labels, reps, length, threshold, miss), "members")
+    found, _ = materialize(spark, joined(members, texts, k, length, threshold, miss, percent), "verified")
     labels = components(links.unionByName(found))
-    remove(spark, buckets_path, tested_path, more_path)
+    remove(spark, buckets_path, tested_path, members_path)
 
     classes = reps.select("ka", "kb", "n", "id").join(labels, "id", "left").select("ka", "kb", "n", F.coalesce("component", "id").alias("component"))
     # A class of many copies makes its partition large; the adaptive join splits it, rows are small.
