@@ -35,7 +35,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
 #: Permutations of a signature; the first bands * rows make the band keys.
 LENGTH = 1280
-MISS = 1e-3
+MISS = 1e-6
 BATCH = 64
 BLOCK = 256
 #: Shingles of a block; one of longer texts has fewer of them.

@@ -111,6 +111,15 @@ def test_bounds_lose_few_pairs_at_the_threshold():
         assert low <= len(bounds.survivors(packed(left), packed(right), at, at)) / 4000 <= high
 
 
+def test_bounds_lose_no_pair_of_many_at_the_threshold():
+    rng = np.random.default_rng(37)
+    bounds, at = minhash.Bounds(minhash.LENGTH, 0.8, minhash.MISS), np.arange(4000)
+    left = rng.integers(0, 16, (4000, minhash.LENGTH)).astype(np.uint8)
+    right = np.where(rng.random(left.shape) < 0.8, left, rng.integers(0, 16, left.shape).astype(np.uint8))
+    packed = lambda x: x[:, ::2] | x[:, 1::2] << 4
+    assert len(bounds.survivors(packed(left), packed(right), at, at)) == 4000
+
+
 def test_minima_estimate_similarity():
     rng = np.random.default_rng(31)
     hasher, pool = minhash.Hasher(40, 6, minhash.LENGTH), rng.integers(0, 1 << 63, 1200).astype(np.uint64)
