@@ -1,17 +1,17 @@
 """License scans by conditional compression.
 
-Lines with a word of licensing make candidate blocks. Each block is compressed alone and with every
-template as a zstandard raw dictionary; templates are ranked by how much smaller the block becomes. A winner is
-confirmed by its exact differences in wording: the words that name the license must all stand in the block, and of
-the better matching template's words at most a share may be missing or changed.
+Lines with a word of licensing make candidate blocks. A license is found by its exact differences in wording: the words
+that name it must all stand in a stretch of the block, and of the template's words at most a share may be missing or
+changed there. Each such stretch is compressed alone and with the template as a zstandard raw dictionary; of
+templates of one license that match the same words, the one by which the stretch becomes smallest is reported. Nothing is dropped for its gain.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,15 +43,14 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
 #: Licenses that bar commercial use or bind derived works.
 RESTRICTED = ("AGPL-3.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0")
 _CUE = re.compile(r"licen[cs]e|copyright|permission is|permission to|redistribution and use|public domain|cc0|creative commons|free software", re.I)
-_WORDS = re.compile(r"[a-z]+[0-9]*|[0-9]+(?:\.[0-9]+)?")
+_WORDS = re.compile(r"[a-zA-Z]+[0-9]*|[0-9]+(?:\.[0-9]+)?")
 #: Words of a block; a longer stretch of cue lines gives several blocks, overlapping by half.
 BLOCK_WORDS = 160
-MIN_GAIN = 0.25
 MAX_CHANGED = 0.35
 
 
 def words(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+    return [w.lower() for w in _WORDS.findall(text)]
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
@@ -104,45 +103,67 @@ class Scanner:
             self.templates.append((name, frozenset(words(key)), own, z.ZstdCompressor(dict_data=raw, **options)))
         self.empty = len(self.alone.compress(b""))
 
-    def ranked(self, block: list[str]) -> list[tuple[float, int]]:
-        """(gain, template) of templates that make the block smaller, best first: the share of its compressed size that goes."""
-        data = " ".join(block).encode()
-        alone = max(1, len(self.alone.compress(data)) - self.empty)
-        gains = [((alone - len(t[3].compress(data)) + self.empty) / alone, -i) for i, t in enumerate(self.templates)]
-        return [(g, -i) for g, i in sorted(gains, reverse=True) if g >= MIN_GAIN]
-
-    def differences(self, block: list[str], template: int) -> tuple[list[str], list[str]]:
-        """(template words that the block lacks, block words within the matched stretch that the template lacks)."""
-        own = self.templates[template][2]
-        match = difflib.SequenceMatcher(None, own, block, autojunk=False).get_opcodes()
-        lacks, extra = [], []
-        inner = [k for k, op in enumerate(match) if op[0] == "equal"]
-        for k, (op, a, b, c, d) in enumerate(match):
-            if op != "equal":
-                lacks += own[a:b]
-                if inner and inner[0] < k < inner[-1]:
-                    extra += block[c:d]
-        return lacks, extra
+    def gain(self, stretch: list[str], template: int) -> tuple[int, float]:
+        """Bytes of the stretch's compressed size that go with the template, and their share of it."""
+        data = " ".join(stretch).encode()
+        alone = len(self.alone.compress(data)) - self.empty
+        saved = alone - len(self.templates[template][3].compress(data)) + self.empty
+        return saved, saved / max(1, alone)
+
+    def stretches(self, block: list[str], template: int) -> list[tuple[int, int, list[str], list[str]]]:
+        """(first, end, template words lacking, words extra) of stretches of the block that hold the wording, apart from each other, best first.
+
+        A stretch has the fewest words lacking and extra together, with every naming word in place.
+        """
+        _, key, own, _ = self.templates[template]
+        most, at, n = int(MAX_CHANGED * len(own)), np.arange(len(block) + 1), len(own)
+        number = {w: k for k, w in enumerate(set(own))}
+        codes = np.array([number.get(w, -1) for w in block])
+        # cost[i, j]: of the first i template words against the best stretch that ends before word j.
+        cost = np.zeros((n + 1, len(block) + 1), np.int32)
+        for i, w in enumerate(own):
+            row = cost[i] + (most + 1 if w in key else 1)
+            row[1:] = np.where(codes == number[w], np.minimum(row[1:], cost[i, :-1]), row[1:])
+            cost[i + 1] = np.minimum.accumulate(row - at) + at
+        out, free = [], np.ones(len(block), bool)
+        for end in np.argsort(cost[n], kind="stable").tolist():
+            if cost[n, end] > most:
+                break
+            i, j, lacks, extra = n, end, [], []
+            while i:
+                if j and block[j - 1] == own[i - 1] and cost[i, j] == cost[i - 1, j - 1]:
+                    i, j = i - 1, j - 1
+                elif j and cost[i, j] == cost[i, j - 1] + 1:
+                    j -= 1
+                    extra.append(block[j])
+                else:
+                    i -= 1
+                    lacks.append(own[i])
+            if free[j:end].all():
+                free[j:end] = False
+                out.append((j, end, lacks[::-1], extra[::-1]))
+        return out
 
     def scan(self, text: str) -> list[tuple]:
-        """(license, start, end, gain, words lacking, words extra) of confirmed blocks; a block names each license once.
+        """(license, start, end, gain, words lacking, words extra) of stretches with a license's wording; those of one license don't overlap.
 
-        Of two confirmed licenses the one whose naming words are part of the other's is not meant.
+        Of two licenses confirmed on overlapping words, the one whose naming words are part of the other's is not meant.
         """
-        out = []
+        hits = []
         for a, b in blocks(text):
-            block, named, found = words(text[a:b]), set(), []
+            placed = list(_WORDS.finditer(text, a, b))
+            block = [m[0].lower() for m in placed]
             have = set(block)
-            for gain, i in self.ranked(block):
-                name, key, own, _ = self.templates[i]
-                if name in named or not key <= have:
-                    continue
-                lacks, extra = self.differences(block, i)
-                if len(lacks) + len(extra) <= MAX_CHANGED * len(own) and not key & set(lacks):
-                    named.add(name)
-                    found.append((key, (name, a, b, round(gain, 4), lacks, extra)))
-            out += [x for key, x in found if not any(key < other for other, _ in found)]
-        return out
+            for i, (name, key, _, _) in enumerate(self.templates):
+                if key <= have:
+                    for x, y, lacks, extra in self.stretches(block, i):
+                        saved, share = self.gain(block[x:y], i)
+                        hits.append((-saved, i, key, (name, placed[x].start(), placed[y - 1].end(), round(share, 4), lacks, extra)))
+        found = []
+        for _, _, key, hit in sorted(hits, key=lambda h: h[:2]):
+            if not any(hit[0] == o[0] and hit[1] < o[2] and o[1] < hit[2] for _, o in found):
+                found.append((key, hit))
+        return [h for key, h in found if not any(key < k and h[1] < o[2] and o[1] < h[2] for k, o in found)]
 
 
 _FOUND = "array<struct<license:string,start:int,end:int,gain:double,lacking:array<string>,extra:array<string>>>"

@@ -239,6 +239,16 @@ def test_license_scan(spark, odd, none, tables):
     assert [d for d in got if got[d].findings.endswith(":0")] and any(got[d].findings.split(":")[-1] == "2" for d in got if want.get(d) == "MIT")
 
 
+def test_licenses_inside_prose_lines():
+    rng, scanner = random.Random(41), license_scan.Scanner()
+    for name, _, wording in license_scan.TEMPLATES:
+        for n in (0, 12, 100, 400):
+            text = f"{prose(rng, n)} {wording} {prose(rng, n)}"
+            assert [x[0] for x in scanner.scan(text)] == [name], (n, text)
+    text = f"We released it a year ago, {prose(rng, 40)} under the MIT License. {prose(rng, 40)} licensed under CC BY 4.0. {prose(rng, 40)} licensed under CC BY-NC 4.0."
+    assert sorted((x[0], *x[4], *x[5]) for x in scanner.scan(text)) == [("CC-BY-4.0",), ("CC-BY-NC-4.0",), ("MIT", "released")]
+
+
 # --- HTML --------------------------------------------------------------------------------------
 
 PAGES = {
