@@ -1,6 +1,6 @@
 """License scans by conditional compression.
 
-Lines with a word of licensing make candidate blocks. A license is found by its exact differences in wording: the words
+The words around each cue of licensing make candidate blocks. A license is found by its exact differences in wording: the words
 that name it must all stand in a stretch of the block, and of the template's words at most a share may be missing or
 changed there. Each such stretch is compressed alone and with the template as a zstandard raw dictionary; of
 templates of one license that match the same words, the one by which the stretch becomes smallest is reported. Nothing is dropped for its gain.
@@ -9,6 +9,7 @@ templates of one license that match the same words, the one by which the stretch
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,10 +43,11 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
 )
 #: Licenses that bar commercial use or bind derived works.
 RESTRICTED = ("AGPL-3.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0")
-_CUE = re.compile(r"licen[cs]e|copyright|permission is|permission to|redistribution and use|public domain|cc0|creative commons|free software", re.I)
+#: Between two words of a cue may stand whatever is no word: line ends, marks of comments.
+_CUE = re.compile("licen[cs]e|copyright|permission is|permission to|redistribution and use|public domain|cc0|creative commons|free software".replace(" ", "[^a-zA-Z0-9]+"), re.I)
 _WORDS = re.compile(r"[a-zA-Z]+[0-9]*|[0-9]+(?:\.[0-9]+)?")
-#: Words of a block; a longer stretch of cue lines gives several blocks, overlapping by half.
-BLOCK_WORDS = 160
+#: Words of a block at most.
+BLOCK_WORDS = 1024
 MAX_CHANGED = 0.35
 
 
@@ -53,41 +55,27 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORDS.findall(text)]
 
 
+#: Words that a confirmed wording takes up at most.
+SPAN = max(len(w) + int(MAX_CHANGED * len(w)) for w in (words(t) for _, _, t in TEMPLATES))
+
+
 def blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of candidate blocks: runs of lines with a cue, with up to two other lines of at most 200 characters between them.
+    """(start, end) of candidate blocks: the words around each cue that a wording with it can take up, joined where they meet.
 
-    A line or run of more than ``BLOCK_WORDS`` words gives windows around its cues, cut at blanks.
+    More than ``BLOCK_WORDS`` words give several blocks, which overlap by as many words as a wording can take up.
     """
     if not _CUE.search(text):
         return []
-    runs, at, gap, begin, end = [], 0, 0, -1, -1
-    for line in text.split("\n"):
-        stop = at + len(line)
-        if _CUE.search(line):
-            begin, end, gap = (at if begin < 0 else begin), stop, 0
-        elif begin >= 0:
-            gap += 1
-            if gap > 2 or len(line) > 200:
-                runs.append((begin, end))
-                begin = -1
-        at = stop + 1
-    if begin >= 0:
-        runs.append((begin, end))
-    out = []
-    for a, b in runs:
-        if b - a <= 8 * BLOCK_WORDS:
-            out.append((a, b))
-            continue
-        last = -1
-        for m in _CUE.finditer(text, a, b):
-            if m.start() < last:
-                continue
-            x, y = max(a, m.start() - 2 * BLOCK_WORDS), min(b, m.start() + 6 * BLOCK_WORDS)
-            x = text.find(" ", x, m.start()) + 1 or x if x > a else x
-            y = text.rfind(" ", m.end(), y) if y < b and text.rfind(" ", m.end(), y) > 0 else y
-            out.append((x, y))
-            last = m.start() + 3 * BLOCK_WORDS
-    return out
+    placed = [m.span() for m in _WORDS.finditer(text)]
+    starts, runs = [a for a, _ in placed], []
+    for m in _CUE.finditer(text):
+        x, y = max(0, bisect_right(starts, m.start()) - 1 - SPAN), min(len(starts), bisect_left(starts, m.end()) + SPAN)
+        if runs and x <= runs[-1][1]:
+            runs[-1][1] = y
+        else:
+            runs.append([x, y])
+    step = BLOCK_WORDS - SPAN
+    return [(starts[i], placed[min(i + BLOCK_WORDS, y) - 1][1]) for x, y in runs for i in range(x, max(x + 1, y - SPAN), step)]
 
 
 class Scanner:

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -249,6 +250,20 @@ def test_licenses_inside_prose_lines():
     assert sorted((x[0], *x[4], *x[5]) for x in scanner.scan(text)) == [("CC-BY-4.0",), ("CC-BY-NC-4.0",), ("MIT", "released")]
 
 
+def test_hard_wrapped_licenses():
+    rng, scanner = random.Random(43), license_scan.Scanner()
+    for name, _, wording in license_scan.TEMPLATES:
+        for width, mark in ((80, ""), (40, ""), (72, " * "), (60, "# "), (12, "")):
+            lines = textwrap.wrap(wording, width, initial_indent=mark, subsequent_indent=mark, break_on_hyphens=False, break_long_words=False)
+            text = "\n".join([prose(rng, 30), "", *lines, "", prose(rng, 30)])
+            assert [x[0] for x in scanner.scan(text)] == [name], text
+    mit = next(t for n, _, t in license_scan.TEMPLATES if n == "MIT" and len(t) > 100)
+    page = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + "\n".join(textwrap.wrap(mit, 80)).replace("conditions: The", "conditions:\n\nThe") + '\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND'
+    assert [x[0] for x in scanner.scan(page)] == ["MIT"]
+    many = "\n".join(f"{page}\n{prose(rng, 7 * i)}" for i in range(40))  # one run of several blocks
+    assert [x[0] for x in scanner.scan(many)] == ["MIT"] * 40 and len(license_scan.blocks(many)) > 5
+
+
 # --- HTML --------------------------------------------------------------------------------------
 
 PAGES = {
