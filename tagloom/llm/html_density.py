@@ -57,7 +57,7 @@ class Tree:
 
     def __init__(self, text: str):
         self.tag, self.parent, self.parts, self.cut = ["#page"], [0], [[]], [False]
-        self.weak = set()  # nodes cut for their class only
+        self.weak = set()  # nodes cut for their class only, and forms
         self._read(text)
         inside = [t in ("article", "main", "h1", "body") for t in self.tag]
         for i in range(len(inside) - 1, 0, -1):
@@ -73,20 +73,26 @@ class Tree:
     def _open(self, tag: str, attrs: str, stack: list[int]) -> int:
         i = len(self.tag)
         cut = tag in _CUT
+        hard = False
         if tag == "header":
             cut = not any(self.tag[s] in ("article", "main") for s in stack)
-        if attrs and not cut:
+        if attrs and (not cut or tag == "form"):
             for name, a, b, c, bare in _ATTR.findall(attrs):
                 name, value = (name or bare).lower(), html.unescape(a or b or c)
                 if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES or name == "style" and re.search(r"display\s*:\s*none", value):
-                    cut = True
+                    cut = hard = True
                 elif name in ("class", "id"):
                     plain, comments = _named(value)
                     if comments and tag not in ("html", "body", "main"):
                         cut = True
+                        hard = True
                     elif plain and tag not in ("html", "body", "main", "article"):
                         cut = True
                         self.weak.add(i)
+        if tag == "form" and not hard:
+            self.weak.add(i)
+        elif tag == "form":
+            self.weak.discard(i)
         self.tag.append(tag)
         self.parent.append(stack[-1])
         self.parts.append([])

@@ -285,6 +285,14 @@ def test_html_cases():
         assert html_density.main_text(page) == text, page
 
 
+def test_html_form_around_the_page():
+    form = "<body><form id=aspnetForm action=/>{}</form></body>"
+    assert html_density.main_text(form.format("<nav>n</nav><article><p>The text of the page.</p></article><input>")) == "The text of the page."
+    assert html_density.main_text(form.format("<h1>Head</h1><div><p>The text of the page.</p></div>")) == "Head\nThe text of the page."
+    assert html_density.main_text(f"<body><article><p>Text of it.</p>{form[6:-7].format('<p>Mail us</p>')}</article></body>") == "Text of it."
+    assert html_density.main_text("<body><form role=search><h1>Find</h1></form><p>The text of the page.</p></body>") == "The text of the page."
+
+
 def test_html_hostile_and_query(spark, tables):
     deep = "<div>" * 20_000 + "x" + "</div>" * 20_000
     frame = spark.createDataFrame([(i, None if i % 2 else f"http://h/{i}", p) for i, p in enumerate([*PAGES, deep, "<p>" + "word " * 50_000, "<" * 5000, '<a href="' * 500, "<!--" * 1000])] + [(0, "again", "<p>a</p>"), (None, None, None)], "page_id bigint, url string, html string")
