@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch, table
 
-TOKENIZERS = "/opt/tokenizers"
+TOKENIZERS = os.path.dirname(public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +52,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import piece_table
     from .digests import id_digests
 
-    out = piece_table.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    out = piece_table.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     out = out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
     return id_digests(out, "ids", sha256="ids_sha256")
 
@@ -68,7 +71,7 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .digests import id_digests
 
     base = scratch(spark, "records")
-    records.write_records(table(spark, sf_dir, "documents"), base, f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
+    records.write_records(table(spark, sf_dir, "documents"), base, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     out = records.read_records(spark, base).select("doc_id", "start", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
     return id_digests(out, "ids", crc32="ids_crc32")
 

@@ -3,8 +3,9 @@
 Records are sorted by ranges of the page id. Of records with equal payloads the one of largest id
 is a response and the others are revisits of it. Which they are is found from digests alone; those notes
 then travel with the pages through the one exchange of payloads, each beside its page.
-Every record is a gzip member of its own; a task starts a new file past a compressed size. Headers and digests are
-generated from the payload, so the same table gives the same files whatever the tasks were.
+Every record is a gzip member of its own; a range starts a file, and another past a compressed size. Ranges are cut at exact
+running totals of the sorted ids, headers and digests are generated from the payload: the same rows give the same
+files, whatever their order, the tasks and the partitions were.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, materialize, pick, slices
-from .shards import MANIFEST, ShardFile, manifest_batch, opened, publish
+from .common import SLICE_BYTES, materialize, pick, remove, slices
+from .shards import MANIFEST, ShardFile, dealt, manifest_batch, opened, publish, ranges
 
 FILE_BYTES = 256 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -56,34 +57,41 @@ def revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     return large.join(last, "digest").where("id <> refers").select("id", "digest", "refers").distinct()
 
 
-def write_warc(df: DataFrame, base: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, file_bytes: int = FILE_BYTES, date: str = "1970-01-01T00:00:00Z", level: int = 6) -> DataFrame:
+def write_warc(df: DataFrame, base: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, file_bytes: int = FILE_BYTES, date: str = "1970-01-01T00:00:00Z", level: int = 6, range_bytes: int | None = None) -> DataFrame:
     """Write one record for each row below ``base``; returns the manifest of the files.
 
     A null payload is empty. Payloads under ``min_bytes`` are always responses. Null ids come first, as one
     id lower than any other. Of rows with equal id and payload the first is the response (unless a larger id has it) and the
-    rest revisit that id. A null url leaves its header out; blanks in a url are escaped. Other columns are dropped.
+    rest revisit that id. A null url leaves its header out; blanks in a url are escaped. Other columns are dropped. A very long
+    payload is one record, held in memory by its task. An empty table gives an empty manifest and no file. ``range_bytes``: as for
+    shards.ranges(). Rows of one id and payload stay in one range; those of one id alone, null included, are spread by their digests.
     """
     pages = pick(df, id=id_col, url=url_col, html=payload_col).select(F.coalesce(F.col("id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     pages = pages.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    notes, _ = materialize(df.sparkSession, revisits(pages.select("id", "digest", F.octet_length("html").alias("n")), min_bytes), "revisits")
+    keys, keys_path = materialize(df.sparkSession, pages.select("id", "digest", F.octet_length("html").alias("n")), "digests")
+    tie = F.xxhash64("digest").alias("tie")
+    bounds = ranges(keys.select("id", tie, "n"), F.col("n") + 512, range_bytes)
+    notes, notes_path = materialize(df.sparkSession, revisits(keys, min_bytes), "revisits")
     none = F.lit(None)
-    both = pages.select("id", "digest", F.lit(1).alias("kind"), "url", "html", none.cast("bigint").alias("refers")).unionByName(
-        notes.select("id", "digest", F.lit(0).alias("kind"), none.cast("string").alias("url"), none.cast("string").alias("html"), "refers")
+    both = pages.select("id", tie, "digest", F.lit(1).alias("kind"), "url", "html", none.cast("bigint").alias("refers")).unionByName(
+        notes.select("id", tie, "digest", F.lit(0).alias("kind"), none.cast("string").alias("url"), none.cast("string").alias("html"), "refers")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        partition, out, seq, key, refers = TaskContext.get().partitionId(), None, 0, None, None
+        out, shard, seq, key, refers = None, -1, 0, None, None
         for batch in slices(batches, "html"):
-            for page, digest, kind, url, html, to in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for now, page, digest, kind, url, html, to in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if key != (page, digest):
                     key, refers = (page, digest), None
                 if kind == 0:
                     refers = to
                     continue
+                if now != shard:
+                    if out:
+                        yield manifest_batch([out.close()])
+                    out, shard, seq = None, now, 0
                 payload = html.encode()
-                out = out or ShardFile(base, partition, seq, ".warc.gz")
+                out = out or ShardFile(base, shard, seq, ".warc.gz")
                 packer = zlib.compressobj(level, zlib.DEFLATED, 31)
                 out.write(packer.compress(record(page, url, payload, refers, date)) + packer.flush())
                 if len(payload) >= min_bytes and refers is None:
@@ -94,11 +102,13 @@ def write_warc(df: DataFrame, base: str, id_col: str = "page_id", url_col: str =
         if out:
             yield manifest_batch([out.close()])
 
-    order = ["id", "digest", "kind", "url"]
-    return publish(df.sparkSession, both.repartitionByRange("id").sortWithinPartitions(*order).mapInArrow(run, MANIFEST), base, "pages")
+    rows = dealt(both, bounds).sortWithinPartitions("shard", "id", "tie", "digest", "kind", "url").select("shard", "id", "digest", "kind", "url", "html", "refers")
+    manifest = publish(df.sparkSession, rows.mapInArrow(run, MANIFEST), base, "pages")
+    remove(df.sparkSession, keys_path, notes_path)
+    return manifest
 
 
-def members(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
+def members(stream, chunk: int = 1 << 16) -> Iterator[bytes]:
     """The gzip members of a stream, each unpacked; a cut member is an error."""
     rest = b""
     while True:

@@ -56,3 +56,19 @@ def test_small_payloads_empty_table_and_damage(spark, tmp_path):
     assert warc.parse(data)[3] == b"body"
     with pytest.raises(ValueError):
         warc.parse(data.replace(b"body", b"b0dy"))
+
+
+def test_file_names_and_digests_depend_on_the_rows_alone(spark, tmp_path):
+    rows = [(i % 700 if i % 5 else None, f"http://h/{i % 11}", f"<p>{'y' * (i % 90)}{i % 300}</p>") for i in range(1500)]
+    df, seen, partitions = spark.createDataFrame(rows, PAGES), [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for name, part, n in (("a", df, partitions), ("b", df, partitions), ("c", df.orderBy(F.rand(1)).repartition(5), partitions), ("d", df.repartition(3), "3"), ("e", df, "17")):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            manifest = warc.write_warc(part, f"file://{tmp_path}/{name}", file_bytes=20_000, range_bytes=90_000)
+            seen.append(sorted((r.path, r.records, r.bytes, r.sha256) for r in manifest.collect()))
+            for path, _, size, digest in seen[-1]:
+                data = (tmp_path / name / path).read_bytes()
+                assert len(data) == size and hashlib.sha256(data).hexdigest() == digest
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert all(s == seen[0] for s in seen) and len({p.split("-")[1] for p, *_ in seen[0]}) > 4 and sum(r for _, r, *_ in seen[0]) == 1500
