@@ -6,13 +6,13 @@ columns of documents. run() applies them to the documents table, writing each re
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import crf, decontam, line_dedup, minhash, piece_table
 from tagloom.llm.common import materialize, table
 from tagloom.llm.digests import id_digests
-from tagloom.llm.queries import TOKENIZERS
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the number and digest of the ids of each text, and the digest of what they decode to."""
-    out = piece_table.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    out = piece_table.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
     out = out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
     return id_digests(out, "ids", sha256="ids_sha256")
 
