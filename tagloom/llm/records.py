@@ -12,18 +12,20 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .common import SLICE_BYTES, pick, slices
-from .shards import MANIFEST, ShardFile, manifest_batch, opened, publish
+from .shards import MANIFEST, ShardFile, dealt, manifest_batch, opened, publish, ranges
 
 FILE_BYTES = 128 << 20
-TABLE_WORDS = 800_000
+TABLE_WORDS = 600_000
 NO_ID = -(1 << 63)
 
 # --- checksums ---------------------------------------------------------------------------------
@@ -40,58 +42,98 @@ _T0 = _byte_table()
 _BLOCK = 512
 
 
-def _distance_tables() -> np.ndarray:
-    """[k, b]: what byte b adds to a register that has k more bytes to take."""
-    out = np.empty((_BLOCK, 256), np.uint32)
-    out[0] = _T0
-    for k in range(1, _BLOCK):
-        out[k] = (out[k - 1] >> 8) ^ _T0[out[k - 1] & 0xFF]
-    return out
+def _after(steps: int, table: np.ndarray) -> np.ndarray:
+    """A table of registers after so many more zero bytes."""
+    for _ in range(steps):
+        table = (table >> 8) ^ _T0[table & 0xFF]
+    return table
 
 
-_AT = _distance_tables()[::-1]
+#: What two bytes add to a register once both are taken.
+_T2 = _after(2, np.arange(1 << 16, dtype=np.uint32))
 #: What each byte of a register becomes after a whole block.
-_SKIP = [[int(_AT[i][b]) for b in range(256)] for i in range(4)]
-_ROWS = np.arange(_BLOCK) * 256
+_SKIP = [_after(_BLOCK, np.arange(256, dtype=np.uint32) << np.uint32(8 * i)).tolist() for i in range(4)]
 
 
 def crc32c(data: bytes) -> int:
-    """CRC-32C, a block at a time: a register of zeros ignores leading zeros, so short data is padded in front."""
+    """CRC-32C of some bytes."""
     if len(data) < 4:
         crc = 0xFFFFFFFF
         for b in data:
             crc = (crc >> 8) ^ int(_T0[(crc ^ b) & 0xFF])
         return crc ^ 0xFFFFFFFF
-    padded = np.zeros(-(-len(data) // _BLOCK) * _BLOCK, np.uint8)
-    padded[-len(data) :] = np.frombuffer(data, np.uint8)
-    head = len(padded) - len(data)
-    padded[head : head + 4] ^= 0xFF
-    flat, crc = _AT.reshape(-1), 0
+    return crc32c_all([data])[0]
+
+
+def crc32c_all(parts: list) -> list[int]:
+    """CRC-32C of each of some byte strings of four bytes or more.
+
+    A register of zeros ignores leading zeros, so each is padded in front to whole blocks; the blocks of all of them then go
+    through the table in step, two bytes at a time, and what blocks give is chained for each string.
+    """
+    blocks = [-(-len(p) // _BLOCK) for p in parts]
+    padded = np.zeros(sum(blocks) * _BLOCK, np.uint8)
+    end = 0
+    for p, n in zip(parts, blocks):
+        end += n * _BLOCK
+        padded[end - len(p) : end] = np.frombuffer(p, np.uint8)
+        padded[end - len(p) : end - len(p) + 4] ^= 0xFF
+    state = np.zeros(sum(blocks), np.uint32)
+    for pair in np.ascontiguousarray(padded.view("<u2").reshape(-1, _BLOCK // 2).T):
+        state = _T2[(state ^ pair) & 0xFFFF] ^ (state >> 16)
+    states, at, out = state.tolist(), 0, []
     s0, s1, s2, s3 = _SKIP
-    for block in np.bitwise_xor.reduce(flat[padded.reshape(-1, _BLOCK) + _ROWS], axis=1).tolist():
-        crc = s0[crc & 255] ^ s1[crc >> 8 & 255] ^ s2[crc >> 16 & 255] ^ s3[crc >> 24] ^ block
-    return crc ^ 0xFFFFFFFF
+    for n in blocks:
+        crc = 0
+        for block in states[at : at + n]:
+            crc = s0[crc & 255] ^ s1[crc >> 8 & 255] ^ s2[crc >> 16 & 255] ^ s3[crc >> 24] ^ block
+        at += n
+        out.append(crc ^ 0xFFFFFFFF)
+    return out
 
 
 def masked(crc: int) -> int:
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
+def frames(payloads: list[bytes]) -> list[bytes]:
+    """The record of each payload (of four bytes or more)."""
+    sizes = [struct.pack("<Q", len(p)) for p in payloads]
+    return [b"".join((n, struct.pack("<I", masked(a)), p, struct.pack("<I", masked(b)))) for n, a, p, b in zip(sizes, crc32c_all(sizes), payloads, crc32c_all(payloads))]
+
+
 def frame(payload: bytes) -> bytes:
-    size = struct.pack("<Q", len(payload))
-    return b"".join((size, struct.pack("<I", masked(crc32c(size))), payload, struct.pack("<I", masked(crc32c(payload)))))
+    return frames([payload])[0]
 
 
-def unframe(stream) -> Iterator[bytes]:
-    """The payloads of a stream, checked; a short or wrong record is an error."""
+def unframe(stream, together: int = SLICE_BYTES) -> Iterator[bytes]:
+    """The payloads of a stream, checked some MB ``together``; a short or wrong record is an error."""
+    heads, bodies, held = [], [], 0
     while head := stream.read(12):
-        if len(head) < 12 or struct.unpack("<I", head[8:])[0] != masked(crc32c(head[:8])):
+        n = struct.unpack("<Q", head[:8])[0] if len(head) == 12 else 0
+        if len(head) < 12 or n > together and struct.unpack("<I", head[8:])[0] != masked(crc32c(head[:8])):
             raise ValueError("a record's length is damaged")
-        n = struct.unpack("<Q", head[:8])[0]
         body = stream.read(n + 4)
-        if len(body) < n + 4 or struct.unpack("<I", body[n:])[0] != masked(crc32c(body[:n])):
+        if len(body) < n + 4:
+            _check(heads, bodies)
             raise ValueError("a record is damaged")
-        yield body[:n]
+        heads.append(head)
+        bodies.append(body)
+        held += len(body)
+        if held > together:
+            _check(heads, bodies)
+            yield from (b[:-4] for b in bodies)
+            heads, bodies, held = [], [], 0
+    _check(heads, bodies)
+    yield from (b[:-4] for b in bodies)
+
+
+def _check(heads: list[bytes], bodies: list[bytes]) -> None:
+    stated = [struct.unpack("<I", h[8:])[0] for h in heads], [struct.unpack("<I", b[-4:])[0] for b in bodies]
+    if stated[0] != [masked(c) for c in crc32c_all([h[:8] for h in heads])]:
+        raise ValueError("a record's length is damaged")
+    if any(len(b) < 8 for b in bodies) or stated[1] != [masked(c) for c in crc32c_all([memoryview(b)[:-4] for b in bodies])]:
+        raise ValueError("a record is damaged")
 
 
 # --- encoding ----------------------------------------------------------------------------------
@@ -99,7 +141,9 @@ def unframe(stream) -> Iterator[bytes]:
 _encoders: dict[str, "WordEncoder"] = {}
 #: Letters that normalization and lower-casing leave as they are.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_PLAIN_WORD, _STOP = "^[a-zß-öø-ÿ]+[.,]?$", "([.,])$"
+#: Marks that can be composed with a letter A-Z before them (U+0300 to U+036F): there, lower-casing first is not the same.
+_MARKS = r"\xcc|\xcd[\x80-\xaf]"
 
 
 class WordEncoder:
@@ -120,14 +164,34 @@ class WordEncoder:
         spec = json.loads(self.lib.to_str())
         steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and spec["pre_tokenizer"]["pretokenizers"][0]["behavior"] == "Removed"
-        self.special = {t["content"][:2].encode() for t in spec["added_tokens"]}
+        self.special = {t["content"][:2] for t in spec["added_tokens"]}
         self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
-        self.table: dict[bytes, bytes] = {}
+        self.table: dict[str, bytes] = {}
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letter = {b: chr(b) for b in printed} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in printed)}
         ids = lambda t: self.lib.encode(t, add_special_tokens=False).ids
         self.stops = {c: ids(c) for c in ".,"}
-        self.direct = self.by_word and all(self.plain(x) == ids(x) for x in ("a", "word", "the.", "straße,", "coração", "x,", "unlikelihoodness."))
+        probes = ("a", "word", "the.", "straße,", "coração", "x,", "unlikelihoodness.")
+        self.direct = self.by_word and all(self.plain(x) == ids(x) for x in probes)
+        self.fast, self.last = self._splitter(spec) if self.direct else (None, None)
+        if self.fast:
+            self.learn(list(probes))
+            if any(np.frombuffer(self.table[x], f"<u{self.width}").tolist() != ids(x) for x in probes):
+                self.fast = None
+            self.table = {}
+
+    def _splitter(self, spec: dict):
+        """(the library's model, splitting at blanks only; which ids end a word), if ids tell where words end."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        suffix = spec["model"].get("end_of_word_suffix")
+        if not suffix:
+            return None, None
+        fast = Tokenizer(self.lib.model)
+        fast.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        last = np.zeros(self.lib.get_vocab_size() + 1, bool)
+        last[[i for t, i in self.lib.get_vocab().items() if t.endswith(suffix)]] = True
+        return fast, last
 
     def plain(self, word: str) -> list[int] | None:
         """The ids of a word of Latin small letters, with or without a stop, from the library's model itself: such a word is one pre-token, a
@@ -147,60 +211,102 @@ class WordEncoder:
         return _encoders[path]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        kind = f"<u{self.width}"
-        raw = [t.encode() for t in texts]
-        whole = [not self.by_word or any(s in t for s in self.special) for t in raw]
-        docs = [[] if w else t.translate(_LOWER).replace(b"\n", b" ").split(b" ") for t, w in zip(raw, whole)]
+        """The ids of each text, as bytes of ``width`` each."""
+        col = pa.array(texts, pa.large_string())
+        whole = np.zeros(len(texts), bool)
+        if not self.by_word:
+            whole[:] = True
+        else:
+            for s in self.special:
+                whole |= pa.compute.match_substring(col, s).to_numpy(zero_copy_only=False)
+        marked = pa.compute.match_substring_regex(col.cast(pa.large_binary()), _MARKS).to_numpy(zero_copy_only=False)
+        out: list = [None] * len(texts)
+        for rows, lower in ((~whole & ~marked, True), (~whole & marked, False)):
+            at = np.flatnonzero(rows)
+            if len(at):
+                for i, x in zip(at.tolist(), self._by_word(col.take(pa.array(at)), lower)):
+                    out[i] = x
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = np.array(self.lib.encode(texts[i], add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+        return out
+
+    def _by_word(self, col: pa.Array, lower: bool) -> list[bytes]:
+        """Words are split, numbered and put together again in Arrow's own code; Python sees each distinct word of the texts once."""
+        col = pa.compute.replace_substring(pa.compute.ascii_lower(col) if lower else col, "\n", " ")
+        lists = pa.compute.split_pattern(col, " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(words)
+        ids = pa.array(list(map(self.table.__getitem__, words)), pa.large_binary()).take(coded.indices)
+        _, offsets, data = ids.buffers()
+        edges = np.frombuffer(offsets, np.int64)[: len(ids) + 1][lists.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        return [bytes(data[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+
+    def learn(self, words: list[str]) -> None:
+        """Add the words that the table lacks; starts anew when it is full."""
         if len(self.table) > TABLE_WORDS:
             self.table = {}
-        new = []
-        for w in {w for d in docs for w in d if w not in self.table}:
-            if self.direct and (found := self.plain(w.decode())) is not None:
-                self.table[w] = struct.pack(f"<{len(found)}{'H' if self.width == 2 else 'I'}", *found)
-            else:
-                new.append(w)
+        table, kind = self.table, f"<u{self.width}"
+        new = [w for w in words if w not in table]
+        if self.fast and new:
+            col = pa.array(new, pa.string())
+            plain = pa.compute.match_substring_regex(col, _PLAIN_WORD)
+            known = col.filter(plain)
+            parts = pa.compute.add(pa.compute.match_substring_regex(known, _STOP).cast(pa.int64()), 1).to_numpy()
+            spaced = pa.compute.replace_substring_regex(known, _STOP, r" \1").to_numpy(zero_copy_only=False).tolist()
+            found = self.fast.encode_batch_fast([" ".join(spaced[a : a + 100]) for a in range(0, len(spaced), 100)], add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(e.ids for e in found), kind)
+            edges = ((np.flatnonzero(self.last[ids])[np.cumsum(parts) - 1] + 1) * self.width).tolist()
+            data = ids.tobytes()
+            table.update(zip(known.to_numpy(zero_copy_only=False).tolist(), [data[x:y] for x, y in zip([0, *edges], edges)]))
+            new = col.filter(pa.compute.invert(plain)).to_numpy(zero_copy_only=False).tolist()
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
-            for w, e in zip(part, self.lib.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.table[w] = np.array(e.ids, kind).tobytes()
-        get = self.table.__getitem__
-        return [np.array(self.lib.encode(t, add_special_tokens=False).ids, kind).tobytes() if w else b"".join(map(get, d)) for t, w, d in zip(texts, whole, docs)]
+            for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
+                table[w] = np.array(e.ids, kind).tobytes()
 
 
 # --- writing and reading -----------------------------------------------------------------------
 
 
-def write_records(df: DataFrame, base: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
+def write_records(df: DataFrame, base: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES, range_bytes: int | None = None) -> DataFrame:
     """Encode the texts and write them below ``base`` in ascending id order; returns the manifest.
 
-    Texts, not ids, are dealt out by ranges of the id, as they are smaller; each task sorts its
-    range and starts a new file past ``file_bytes``. Null ids come first, a null text is empty, repeated ids stand
-    next to each other (by text). Other columns are dropped. An empty table writes no file.
+    Texts, not ids, are dealt out by exact ranges of the id, as they are smaller; each task sorts its
+    ranges and starts a new file with each, and past ``file_bytes``. Names and bytes of the files depend on the rows alone. Null
+    ids come first, a null text is empty, repeated ids stand next to each other (null texts first, the others in the order of a
+    hash). Other columns are dropped. An empty table writes no file. A long text is one record, held in memory by its task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        encoder, partition = WordEncoder.of(tokenizer), TaskContext.get().partitionId()
+        encoder = WordEncoder.of(tokenizer)
         end = b"" if end_id is None else np.array([end_id], f"<u{encoder.width}").tobytes()
         out = index = None
-        seq = 0
+        shard, seq = -1, 0
         for batch in slices(batches, "text"):
-            ids = encoder.ids([t or "" for t in batch.column(1).to_pylist()])
-            for doc, data in zip(batch.column(0).to_pylist(), ids):
+            docs = batch.column(1).to_pylist()
+            data = [d + end for d in encoder.ids([t or "" for t in batch.column(2).to_pylist()])]
+            packed = frames([struct.pack("<qB", d, encoder.width) + x for d, x in zip(docs, data)])
+            for now, record, ids in zip(batch.column(0).to_pylist(), packed, data):
+                if now != shard:
+                    if out is not None:
+                        yield manifest_batch([out.close(), index.close()])
+                    out, shard, seq = None, now, 0
                 if out is None:
-                    out, index = ShardFile(base, partition, seq, ".rec"), ShardFile(base, partition, seq, ".idx")
+                    out, index = ShardFile(base, shard, seq, ".rec"), ShardFile(base, shard, seq, ".idx")
                 index.write(struct.pack("<Q", out.bytes))
-                data += end
-                out.write(frame(struct.pack("<qB", NO_ID if doc is None else doc, encoder.width) + data), 1, len(data) // encoder.width)
+                out.write(record, 1, len(ids) // encoder.width)
                 if out.bytes > file_bytes:
                     yield manifest_batch([out.close(), index.close()])
                     out, seq = None, seq + 1
         if out is not None:
             yield manifest_batch([out.close(), index.close()])
 
-    rows = pick(df, id=id_col, text=text_col).select(F.col("id").cast("bigint"), F.col("text").cast("string"))
-    files = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text").mapInArrow(run, MANIFEST)
+    rows = pick(df, id=id_col, text=text_col).select(F.coalesce(F.col("id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string"))
+    rows = rows.withColumn("tie", F.when(F.col("text").isNull(), F.lit(NO_ID)).otherwise(F.xxhash64("text")))
+    bounds = ranges(rows, F.coalesce(F.octet_length("text"), F.lit(0)) + 16, range_bytes)
+    files = dealt(rows, bounds).sortWithinPartitions("shard", "id", "tie", "text").select("shard", "id", "text").mapInArrow(run, MANIFEST)
     return publish(df.sparkSession, files, base, "tokens")
 
 
@@ -234,6 +340,56 @@ def read_records(spark: SparkSession, base: str) -> DataFrame:
     return spread.mapInArrow(run, "doc_id bigint, start bigint, ids array<int>")
 
 
-def _batch(docs: list, starts: list, parts: list) -> pa.RecordBatch:
+def read_shuffled(spark: SparkSession, base: str, seed: int = 0, open_files: int = 32) -> DataFrame:
+    """doc_id, ids, and ``place`` (the place in the shuffled order, a random 64-bit number): the records in an order that depends on
+    the seed only, each read at its offset from the index. Partitions hold consecutive stretches of that order.
+
+    Only places and offsets are sorted; records are read where they are wanted, with at most ``open_files`` files open in a task.
+    """
+    files = spark.read.parquet(f"{base}/manifest").where(F.col("path").endswith(".idx"))
+
+    def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = opened(base)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with fs.open_input_stream(f"{root}/{path}", compression=None) as stream:
+                    while data := stream.read(SLICE_BYTES):
+                        at = pa.array(np.frombuffer(data, "<u8").astype(np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array([path[:-4] + ".rec"] * len(at), pa.string()), at], ["path", "at"])
+
+    def placed(rows: list[tuple]) -> pa.RecordBatch:
+        _check([h for _, h, _ in rows], [b for _, _, b in rows])
+        heads = [struct.unpack("<qB", b[:9]) for _, _, b in rows]
+        parts = [np.frombuffer(memoryview(b)[9:-4], f"<u{width}").astype(np.int32) for (_, width), (_, _, b) in zip(heads, rows)]
+        return _batch([None if d == NO_ID else d for d, _ in heads], [p for p, _, _ in rows], parts, "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = opened(base)
+        files: dict = {}
+        for batch in batches:
+            rows: list[tuple] = []
+            held = 0
+            for path, at, place in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                stream = files.pop(path, None) or fs.open_input_file(f"{root}/{path}")
+                files[path] = stream  # the last used one stands last
+                if len(files) > open_files:
+                    files.pop(next(iter(files))).close()
+                stream.seek(at)
+                head = stream.read(12)
+                rows.append((place, head, stream.read(struct.unpack("<Q", head[:8])[0] + 4)))
+                held += len(rows[-1][2])
+                if held > SLICE_BYTES:
+                    yield placed(rows)
+                    rows, held = [], 0
+            if rows:
+                yield placed(rows)
+        for stream in files.values():
+            stream.close()
+
+    order = files.select("path").repartition(max(1, files.count())).mapInArrow(offsets, "path string, at bigint").withColumn("place", F.xxhash64(F.lit(seed), "path", "at"))
+    return order.repartitionByRange("place", "path", "at").sortWithinPartitions("place", "path", "at").mapInArrow(run, "doc_id bigint, place bigint, ids array<int>")
+
+
+def _batch(docs: list, starts: list, parts: list, name: str = "start") -> pa.RecordBatch:
     offsets = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))], ["doc_id", "start", "ids"])
+    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))], ["doc_id", name, "ids"])

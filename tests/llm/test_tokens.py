@@ -123,3 +123,45 @@ def test_plain_words_match_the_library(word):
     assert encoder.direct
     found = encoder.plain(word)
     assert found is None or found == encoder.lib.encode(word, add_special_tokens=False).ids
+
+
+#: Letters with marks that compose with a small letter only, marks in any order, Hangul letters and syllables, title-case letters.
+COMPOSING = st.text(st.sampled_from(list("abYHTWJEO \n.,'sé") + [chr(c) for c in (0x30A, 0x331, 0x308, 0x30C, 0x301, 0x300, 0x338, 0x323, 0x344, 0x345, 0x1100, 0x1161, 0x11A8, 0xAC00, 0x1C5, 0x1C8, 0x1F2, 0x178, 0x130, 0x131, 0x17F, 0x3A3, 0x3C2, 0x212B, 0xFB01, 0xAD, 0xF71)]), max_size=30)
+
+
+@settings(max_examples=2000, deadline=None)
+@given(COMPOSING)
+def test_composing_marks_join_to_the_library_result(text):
+    encoder = records.WordEncoder.of(WORDS)
+    assert np.frombuffer(encoder.ids([text])[0], "<u2").tolist() == encoder.lib.encode(text, add_special_tokens=False).ids
+
+
+def test_letters_whose_capital_has_no_composed_form():
+    encoder = records.WordEncoder.of(WORDS)
+    texts = [a + m for a in "YHTWJ" for m in "\u030a\u0331\u0308\u030c"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.ids(texts)] == [encoder.lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_files_depend_on_the_rows_alone(spark, tmp_path):
+    rng = __import__("random").Random(3)
+    df = spark.createDataFrame([(rng.randrange(900) if i % 5 else None, f"text {'x' * rng.randrange(60)} {i % 211}") for i in range(1500)], "doc_id bigint, text string")
+    seen, partitions = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for name, rows, n in (("a", df, partitions), ("b", df, partitions), ("c", df.orderBy(F.rand(1)).repartition(5), partitions), ("d", df.repartition(3), "3"), ("e", df, "17")):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            manifest = records.write_records(rows, f"file://{tmp_path}/{name}", WORDS, file_bytes=4000, range_bytes=9000)
+            seen.append(sorted((r.path, r.records, r.bytes, r.sha256) for r in manifest.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert all(s == seen[0] for s in seen) and len({p.split("-")[1] for p, *_ in seen[0]}) > 4 and len(seen[0]) > 20
+
+
+def test_shuffled_reads_follow_the_index(spark, odd, none, tmp_path):
+    base = f"file://{tmp_path}/s"
+    records.write_records(odd, base, WORDS, file_bytes=500)
+    plain = collections.Counter((r.doc_id, tuple(r.ids)) for r in records.read_records(spark, base).collect())
+    one, two = ([(r.place, r.doc_id, tuple(r.ids)) for r in records.read_shuffled(spark, base, seed, open_files=2).collect()] for seed in (0, 1))
+    assert [p for p, *_ in one] == sorted(p for p, *_ in one) and [d for _, *d in one] != [d for _, *d in two]
+    assert collections.Counter((d, i) for _, d, i in one) == collections.Counter((d, i) for _, d, i in two) == plain
+    records.write_records(none, f"file://{tmp_path}/n", WORDS)
+    assert records.read_shuffled(spark, f"file://{tmp_path}/n").count() == 0
