@@ -63,7 +63,7 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.spans(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
     counts = [count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:4])]
-    return out.select("doc_id", *counts, F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed(F.concat("base", "added")).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed(F.concat("base", "added")).alias("spans"), F.size("added").cast("bigint").alias("n_added"))
 
 
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,6 +220,75 @@ def test_pii_em_and_classifier(spark, none):
     assert pii.train([], []) == [] and pii.spans(none).count() == 0
 
 
+def brute_em(patterns, counts, rounds=50):
+    """The same model, span by span, in plain loops."""
+    import math
+
+    vote = lambda p, j: p >> (4 + 2 * j) & 3
+    groups, out = collections.defaultdict(list), {}
+    for p, c in zip(patterns, counts):
+        groups[p & 15, p >> 18 & 1].append((p, c))
+    for members in groups.values():
+        total = sum(c for _, c in members)
+        rate = {(j, k, v): pii.RATES[name][1 - k][v] for j, name in enumerate(pii.LABELERS) for k in (0, 1) for v in range(3)}
+        first, prior = dict(rate), 0.5
+        for _ in range(rounds):
+            q = {}
+            for p, _c in members:
+                one, other = (math.prod(rate[j, k, vote(p, j)] for j in range(len(pii.LABELERS))) for k in (1, 0))
+                q[p] = prior * one / (prior * one + (1 - prior) * other)
+            mass = {1: sum(c * q[p] for p, c in members) / total, 0: sum(c * (1 - q[p]) for p, c in members) / total}
+            rate = {(j, k, v): (pii.ANCHOR * first[j, k, v] + sum(c * (q[p] if k else 1 - q[p]) for p, c in members if vote(p, j) == v) / total) / (pii.ANCHOR + mass[k]) for j, k, v in rate}
+            prior = (pii.ANCHOR / 2 + mass[1]) / (pii.ANCHOR + 1)
+        out |= q
+    return [out[p] for p in patterns]
+
+
+def test_pii_em_against_plain_loops():
+    rng = random.Random(12)
+    patterns = sorted({rng.randrange(10) | sum(rng.choice((0, 0, 1, 2)) << (4 + 2 * j) for j in range(7)) | rng.randrange(2) << 18 | rng.randrange(64) << 19 for _ in range(200)})
+    counts = [rng.randrange(1, 10**6) for _ in patterns]
+    rates, p = pii.reliabilities(patterns, counts)
+    assert p.tolist() == pytest.approx(brute_em(patterns, counts), abs=1e-9)
+    assert all(abs(r.sum(2) - 1).max() < 1e-9 for r in rates.values())
+    # only shares count, not how many spans there are
+    assert pii.train(patterns, counts) == pii.train(patterns, [1000 * c for c in counts])
+
+
+def test_pii_base_spans_do_not_decide_for_proposals():
+    text = "version 555.123.4567"
+    doubtful = pii.votes(text, *pii.proposals(text, [])[0], False)
+    base = pii.votes("call +1 (376) 555-9077", pii.PHONE, 5, 22, True)
+    for n in (1, 1000, 10**9):
+        assert pii.train([doubtful, base], [5, n]) == [base]
+        assert pii.reliabilities([doubtful, base], [5, n])[1][0] < 0.2
+
+
+PERSONAL = ["my name is {given} Malone", "signed, Prof. Ada Quill", "password={hex}", "token = \"{hex}\"", "key AKIA{up}", "I live at 12 Baker Street", "wohnt in der Gartenstraße 12", "born on 12.03.1984", "mail jane [at] site [dot] org", "call (555) 123-4567", "ssn 123-45-6789", "IBAN GB82 WEST 1234 5698 7654 32"]
+OTHER = ["version 555.123.4567", "part 000-12-3456", "password = changeme", "IBAN XX82 WEST 1234 5698 7654 31", "order 900-45-6789", "item 155-123-4567x", "The United Kingdom voted", "token: required"]
+
+
+def test_pii_finds_planted_spans_and_leaves_others(spark, tables):
+    rng = random.Random(45)
+    given = sorted(pii.GIVEN_NAMES)
+    fill = lambda t: t.format(given=rng.choice(given), hex="".join(rng.choice("0123456789abcdef") for _ in range(24)) + "7a", up="".join(rng.choice("ABCDEFGHJK23456789") for _ in range(16)))
+    docs = [(i, f"{prose(rng, 20)}. {fill(t)}. {prose(rng, 20)}", None, None, None) for i, t in enumerate([*PERSONAL * 20, *OTHER * 20])]
+    docs += [(5000 + i, prose(rng, 60), None, None, None) for i in range(50)]
+    frame = spark.createDataFrame(docs, DOCUMENTS)
+    out = {r.doc_id: r for r in queries.op7_personal_data(spark, tables(documents=frame)).collect()}
+    n = len(PERSONAL) * 20
+    assert sum(out[i].n_added > 0 for i in range(n)) >= 0.95 * n
+    assert sum(out[i].n_added > 0 for i in range(n, n + len(OTHER) * 20)) <= 0.05 * len(OTHER) * 20
+    assert not any(out[5000 + i].n_added for i in range(50))
+
+
+def test_pii_odd_texts_and_clashing_columns(spark, odd):
+    clash = odd.withColumn("base", F.lit(1)).withColumn("added", F.lit("x")).withColumn("id", F.lit(2))
+    out = pii.spans(clash)
+    assert out.columns == ["doc_id", "base", "added"] and out.count() == odd.count() and out.where("doc_id = 4").count() == 2
+    assert pii.spans(odd.limit(0)).count() == 0
+
+
 # --- licenses ----------------------------------------------------------------------------------
 
 
