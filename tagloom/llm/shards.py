@@ -24,16 +24,17 @@ from .common import materialize, remove
 
 MANIFEST = "partition int, seq int, temp string, records bigint, units bigint, bytes bigint, sha256 string"
 
-#: Bytes of input in a range at least, and ranges at most (what is sent to every task: 16 bytes a range).
-RANGE_BYTES = 8 << 20
-RANGES = 1 << 16
+#: Bytes of input in a range at least; ranges are made larger, up to ``RANGE_FULL``, once there are ``RANGES_FEW`` of them, and beyond
+#: that once there are ``RANGES`` (what is sent to every task: 16 bytes a range).
+RANGE_BYTES, RANGE_FULL = 2 << 20, 256 << 20
+RANGES_FEW, RANGES = 1 << 10, 1 << 16
 
 
 def ranges(rows: DataFrame, size: Column, range_bytes: int | None = None) -> np.ndarray:
     """The least (id, tie) of each range, ascending. rows: id, tie (bigint, not null); size: bytes of a row.
 
     A range ends with the key in which the running total of sizes, in key order, passes a multiple of ``range_bytes``; rows of
-    equal keys stay together. Left out, that is ``RANGE_BYTES``, doubled until there are at most ``RANGES`` ranges. Only one
+    equal keys stay together. Left out, that is ``RANGE_BYTES``, doubled by the total of all sizes as said there. Only one
     total for each partition and the bounds themselves reach the driver.
     """
     spark = rows.sparkSession
@@ -43,7 +44,7 @@ def ranges(rows: DataFrame, size: Column, range_bytes: int | None = None) -> np.
     whole = sum(n for _, n in totals)
     if range_bytes is None:
         range_bytes = RANGE_BYTES
-        while whole > range_bytes * RANGES:
+        while whole > range_bytes * (RANGES_FEW if range_bytes < RANGE_FULL else RANGES):
             range_bytes *= 2
     before = np.cumsum([0, *(n for _, n in totals)])
     offsets = spark.createDataFrame([(p, int(b)) for (p, _), b in zip(totals, before)], "part int, offset bigint")
