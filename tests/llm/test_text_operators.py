@@ -129,6 +129,61 @@ def test_viterbi_against_every_labelling():
         assert value(model.decode(masks)) == pytest.approx(value(best))
 
 
+def test_lines_of_mixed_documents_get_mixed_labels():
+    rng = random.Random(46)
+    good = lambda: f"{prose(rng, rng.randrange(12, 30)).capitalize()}."
+    bad = lambda: rng.choice([" | ".join(prose(rng, 6).split()), f"{prose(rng, 8).upper()}!!!", "Subscribe | Share | Click", " ".join(f"{w}$$$" for w in prose(rng, 9).split())])
+    made = []
+    for i in range(300):
+        y = int(i % 3 > 0)
+        kinds = [rng.random() < (0.8 if y else 0.15) for _ in range(rng.randrange(4, 14))]
+        made.append((y, kinds, "\n".join(good() if k else bad() for k in kinds)))
+    half = len(made) // 2
+    model = crf.fit([(crf.masks_of(*crf.lines_of(t)), y) for y, _, t in made[:half]])
+    right = total = mixed = between = 0
+    for y, kinds, text in made[half:]:
+        *_, failed, labels, share, kept = crf.judge(text, model, 0.5)
+        right += sum(bool(a) == b for a, b in zip(labels, kinds))
+        total += len(kinds)
+        mixed += len(set(labels)) > 1 and len(set(kinds)) > 1
+        between += 0 < share < 1
+        sizes = [len(x) for x in text.encode().split(b"\n")]
+        assert share == pytest.approx(sum(n for n, z in zip(sizes, labels) if z) / sum(sizes))
+    assert right >= 0.95 * total and mixed >= 0.9 * sum(len(set(k)) > 1 for _, k, _ in made[half:]) and between >= mixed
+
+
+def test_marginals_against_every_labelling():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    e, move, sizes = rng.normal(size=(6, 5, 2)), rng.normal(size=(2, 2)), [5, 1, 3, 4, 2, 5]
+    real = np.arange(5) < np.array(sizes)[:, None]
+    e = e * real[..., None]
+    total, node, pair = crf._marginals(e, move, real)
+    for k, n in enumerate(sizes):
+        ways = list(itertools.product((0, 1), repeat=n))
+        value = np.array([np.exp(sum(e[k, i, y] for i, y in enumerate(w)) + sum(move[a, b] for a, b in zip(w, w[1:]))) for w in ways])
+        assert total[k] == pytest.approx(np.log(value.sum()))
+        for i in range(n):
+            assert node[k, i, 1] == pytest.approx(sum(v for v, w in zip(value, ways) if w[i]) / value.sum())
+        for a, b in itertools.product((0, 1), repeat=2):
+            assert pair[k, a, b] == pytest.approx(sum(v * sum((x, y) == (a, b) for x, y in zip(w, w[1:])) for v, w in zip(value, ways)) / value.sum())
+
+
+def test_quality_repeats_nulls_and_clashing_columns(spark, odd):
+    docs = [(i, f"{prose(random.Random(i), 60).capitalize()}." if i % 2 else "$$$ ### " * 40, None, None, None) for i in range(40)]
+    frame = spark.createDataFrame(docs + docs[:3], DOCUMENTS).unionByName(odd).withColumn("kept", F.lit("x")).withColumn("n_words", F.lit("y")).withColumn("id", F.lit(1))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 0), (None, 1), (3, None)], "doc_id bigint, quality int").withColumn("text", F.lit("z"))
+    model = crf.train(frame, labels)
+    assert crf.train(frame.repartition(3), labels.repartition(2)).emit.tolist() == model.emit.tolist()
+    out = crf.score(frame, model)
+    assert out.count() == frame.count() and out.where("doc_id is null").count() == 2
+    kept = crf.keep(frame, model)
+    assert kept.columns == frame.columns and kept.where("doc_id < 40 and doc_id % 2 = 1").count() >= 19 and kept.where("text is null").count() == 0
+
+
 # --- line dedup --------------------------------------------------------------------------------
 
 
