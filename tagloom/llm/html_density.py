@@ -1,11 +1,14 @@
 """Main text of HTML pages by composite text density.
 
 A tolerant parser builds the tree of a page. Parts that are never article text (scripts, forms, navigation, adverts,
-notices, reader comments) are cut by element, role and class. For every node left, the density is
+notices, reader comments) are cut by element and role, and boxes also by class or id where all of a name says so; headings
+never are, and a box whose id is the slug of its own heading is not. For every node left, the density is
 its characters per tag, adjusted for the share of link characters and link tags in it; the density
 sum of a node is that of its children. The node of largest sum is the core. The least density on
-the path from it to the body is the threshold: where an article or main element encloses the core, that
-element is the text; elsewhere it is the body, less side branches of lower density than the threshold.
+the path from it to the body is the threshold. An article element around the core (else a main element, else the body) bounds the text;
+with it go the articles next to it that reach the threshold. Inside, branches beside the path to the core
+go where their density is below the threshold: in an article or main element blocks in which links prevail, elsewhere all blocks but headings. Children of the core go only if
+they are hardly anything but links.
 """
 
 from __future__ import annotations
@@ -29,47 +32,79 @@ _RAW = frozenset("script style title textarea xmp iframe noembed noframes".split
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 _CUT = frozenset("head title script style noscript template nav footer aside form button select textarea input iframe object embed svg canvas audio video dialog menu noembed noframes search".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar tablist".split())
-#: Words of class names and ids that mark what is not the article.
-_WORDS = frozenset(
-    "ad ads adbox adsense adslot advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices notification announcement alert popup modal overlay newsletter subscribe subscription signup login search searchbox share sharing social related recommended recommendations pagination pager toolbar widget widgets disclaimer copyright paywall".split()
+# Words of class names and ids.
+#: Parts that are not the article, whatever else the name says.
+_SURE = frozenset("adbox adsense adslot advert adverts advertisement advertising sponsored sidebar sidenav navbar breadcrumb breadcrumbs masthead topbar newsletter pagination searchbox paywall commentlist disqus".split())
+#: Parts that are not the article if the name says nothing else.
+_WORDS = _SURE | frozenset(
+    "ad ads sponsor sponsors promo promos promotion promotions promoted banner banners menu menus nav navigation footer cookie cookies consent gdpr notice notices notification notifications announcement alert alerts popup modal overlay subscribe subscription signup login search share sharing social related recommended recommendations pager toolbar widget widgets disclaimer copyright".split()
 )
-_COMMENTS = frozenset("comment comments commentlist disqus reply replies respond responses discussion".split())
+_COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Words that say only what kind of box it is, or where.
+_PLACE = frozenset(
+    "box block boxes blocks container wrapper wrap section sections area areas list lists link links bar bars item items inner outer top bottom left right center middle site page main global post posts article articles story stories form button buttons icon icons panel module modules region zone slot unit text message messages msg content body row col column group header head title js div id primary secondary sticky fixed mobile desktop small large new more read your user reader thread tree feed media us on off page pages entry news policy bottombar in by for".split()
+)
+#: Elements that a class or id may cut; others only by a class that is one such word, headings not at all.
+_BOXES = frozenset("div section ul ol dl table figure header details center fieldset hgroup address form".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 #: An open element of the first kind ends when an element of the second starts.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def _named(value: str) -> tuple[bool, bool]:
-    """Whether a class or id names a part that is not the article, and whether it names reader comments."""
+def _named(value: str, whole: bool) -> tuple[bool, bool]:
+    """Whether a class or id names a part that is not the article, and whether it names reader comments. ``whole``: only by a name of one word."""
     cut = comments = False
     for name in value.split():
         words = [w.lower() for w in _PARTS.findall(name)]
-        if words and words[0] in ("has", "with", "no", "without"):
+        if not words or words[0] in ("has", "with", "no", "without") or whole and len(words) > 1:
             continue
-        comments |= any(w in _COMMENTS for w in words)
-        cut |= any(w in _WORDS for w in words) or words == ["header"] or words[-2:] in (["site", "header"], ["page", "header"])
+        if all(w in _WORDS or w in _COMMENTS or w in _PLACE or w.isdigit() for w in words):
+            comments |= any(w in _COMMENTS for w in words)
+            cut |= any(w in _WORDS for w in words)
+        cut |= any(w in _SURE for w in words) or words == ["header"] or words[-2:] in (["site", "header"], ["page", "header"])
     return cut, comments
 
 
+def _slug(text: str) -> str:
+    return "-".join(re.findall(r"\w+", text.lower()))
+
+
 class Tree:
     """Nodes in page order: a node's children are node numbers and strings. Node 0 is the page."""
 
     def __init__(self, text: str):
         self.tag, self.parent, self.parts, self.cut = ["#page"], [0], [[]], [False]
-        self.weak = set()  # nodes cut for their class only, and forms
+        self.weak = set()  # nodes cut for their class or id only, and forms
+        self.ids, self.classed = {}, set()  # of these, what names cut them
         self._read(text)
-        inside = [t in ("article", "main", "h1", "body") for t in self.tag]
+        hidden = list(self.cut)
+        for i in range(1, len(hidden)):
+            hidden[i] |= hidden[self.parent[i]]
+        # What is cut for its class can't hold the page's only articles, its main element or its title.
+        held = {"main", "h1", "body"} | ({"article"} if all(h for h, t in zip(hidden, self.tag) if t == "article") else set())
+        inside = [t in held for t in self.tag]
         for i in range(len(inside) - 1, 0, -1):
             if inside[i]:
                 inside[self.parent[i]] = True
         for i in self.weak:
-            if inside[i]:
+            if inside[i] or i in self.ids and i not in self.classed and self.tag[i] != "form" and self._titled(i):
                 self.cut[i] = False
         for i in range(1, len(inside)):
             if self.cut[self.parent[i]]:
                 self.cut[i] = True
 
+    def _titled(self, i: int) -> bool:
+        """Whether the id of a node is the slug of the heading it starts with."""
+        first = next((j for j in self.parts[i] if j.__class__ is int or j.strip()), None)
+        if first.__class__ is not int or self.tag[first] not in _HEADINGS:
+            return False
+        words, todo = [], [first]
+        while todo:
+            x = todo.pop()
+            words.append(x) if x.__class__ is str else todo.extend(reversed(self.parts[x]))
+        return _slug("".join(words)) == _slug(self.ids[i])
+
     def _open(self, tag: str, attrs: str, stack: list[int]) -> int:
         i = len(self.tag)
         cut = tag in _CUT
@@ -81,14 +116,18 @@ class Tree:
                 name, value = (name or bare).lower(), html.unescape(a or b or c)
                 if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES or name == "style" and re.search(r"display\s*:\s*none", value):
                     cut = hard = True
-                elif name in ("class", "id"):
-                    plain, comments = _named(value)
-                    if comments and tag not in ("html", "body", "main"):
+                elif name == "class" or name == "id" and (tag in _BOXES or tag in ("article", "aside")):
+                    plain, comments = _named(value, tag not in _BOXES and tag != "article")
+                    if comments and tag not in ("html", "body", "main") and tag not in _HEADINGS:
                         cut = True
                         hard = True
-                    elif plain and tag not in ("html", "body", "main", "article"):
+                    elif plain and tag not in ("html", "body", "main", "article") and tag not in _HEADINGS:
                         cut = True
                         self.weak.add(i)
+                        if name == "id":
+                            self.ids[i] = value
+                        else:
+                            self.classed.add(i)
         if tag == "form" and not hard:
             self.weak.add(i)
         elif tag == "form":
@@ -149,8 +188,8 @@ class Tree:
             elif tag not in _VOID and not (attrs.endswith("/") and tag not in _BLOCK and tag not in ("a", "span", "b", "i")):
                 stack.append(i)
 
-    def density(self) -> tuple[list[float], list[float]]:
-        """Composite density and density sum of each node; cut nodes have none."""
+    def density(self) -> tuple[list[float], list[float], list[float]]:
+        """Composite density, density sum and share of link characters of each node; cut nodes have none."""
         n = len(self.tag)
         chars, tags, link_chars, link_tags = ([0] * n for _ in range(4))
         for i in range(n - 1, -1, -1):
@@ -176,9 +215,9 @@ class Tree:
             base = math.log(c / max(1, c - link_chars[i]) * link_chars[i] + whole * c + math.e)
             dens[i] = c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(base) if base > 1.0000001 else c / t * math.log(max(c / lc * t / lt, 1.0)) * 10
             sums[self.parent[i]] += dens[i]
-        return dens, sums
+        return dens, sums, [lc / c if c else 0.0 for lc, c in zip(link_chars, chars)]
 
-    def blocks(self, root: int, drop: frozenset | set = frozenset()) -> list[str]:
+    def blocks(self, roots: list[int], drop: frozenset | set = frozenset()) -> list[str]:
         out, text = [], []
 
         def flush() -> None:
@@ -186,14 +225,14 @@ class Tree:
                 out.append(line)
             text.clear()
 
-        todo: list = [root]
+        todo: list = [x for r in reversed(roots) for x in (r, None)]
         while todo:
             x = todo.pop()
             if x.__class__ is str:
                 text.append(x)
             elif x is None:
                 flush()
-            elif x == root or not (self.cut[x] or x in drop):
+            elif x in roots or not (self.cut[x] or x in drop):
                 if self.tag[x] == "br":
                     text.append(" ")
                     continue
@@ -214,24 +253,37 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     tree = Tree(page)
-    dens, sums = tree.density()
+    roots, drop = select(tree, *tree.density())
+    return "\n".join(tree.blocks(roots, drop))
+
+
+def select(tree: Tree, dens: list[float], sums: list[float], links: list[float]) -> tuple[list[int], set[int]]:
+    """(the nodes whose text is the article's, in page order; the nodes inside them that are not)."""
     core = max(range(len(sums)), key=lambda i: (sums[i], -i))
     path = [core]
     while path[-1]:
         path.append(tree.parent[path[-1]])
-    for i in reversed(path):
-        if tree.tag[i] in ("article", "main"):
-            inner = [j for j in path if tree.tag[j] == "article"]
-            return "\n".join(tree.blocks(inner[-1] if inner else i))
     least = min((dens[i] for i in path if i), default=0.0)
-    own = set(path)
-    side = {j for i in path for j in tree.parts[i] if j.__class__ is int and j not in own and dens[j] < least and tree.tag[j] in _BLOCK and tree.tag[j] not in _HEADINGS} if least > 0 else set()
-    side -= {j for j in tree.parts[core] if j.__class__ is int}
-    return "\n".join(tree.blocks(0, side))
+    around = [i for i in reversed(path) if tree.tag[i] == "article"] or [i for i in path if tree.tag[i] == "main"] or [0]
+    scope, own = around[0], set(path)
+    roots = [scope]
+    if tree.tag[scope] == "article":
+        roots = [j for j in tree.parts[tree.parent[scope]] if j == scope or j.__class__ is int and tree.tag[j] == "article" and not tree.cut[j] and dens[j] >= least > 0]
+    drop = set()
+    if least > 0:
+        for i in path[: path.index(scope) + 1]:
+            for j in tree.parts[i]:
+                if j.__class__ is int and j not in own and not tree.cut[j] and dens[j] < least and tree.tag[j] in _BLOCK and tree.tag[j] not in _HEADINGS and (links[j] > 0.8 if i == core else links[j] > 0.5 or not scope):
+                    drop.add(j)
+    return roots, drop
 
 
 def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """``id_col``, ``url_col`` and ``text`` of each row. Repeated rows and null ids are kept; other columns are dropped."""
+    """``id_col``, ``url_col`` and ``text`` of each row.
+
+    A null or empty page has an empty text. Repeated rows and null ids are kept; other columns are dropped, whatever their names. An empty
+    table gives an empty one. A very long or deep page is read whole, by one task, without recursion. Of cores of equal sum the first counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):

@@ -417,6 +417,116 @@ def test_html_form_around_the_page():
     assert html_density.main_text("<body><form role=search><h1>Find</h1></form><p>The text of the page.</p></body>") == "The text of the page."
 
 
+def test_html_article_parts_named_like_noise_stay():
+    page = "<body><nav><a href=/>x</a></nav><article><h1>T</h1><p>Intro text here, and some more of it.</p>{}<p>aaa bbb</p></article></body>"
+    for part, text in {
+        '<h2 id="related-work">Related work</h2>': "Related work",
+        '<section id="discussion"><h2>Discussion</h2><p>disc text</p></section>': "Discussion\ndisc text",
+        '<h2 id="search-algorithm">Search algorithm</h2>': "Search algorithm",
+        '<p class="share-price">The price rose.</p>': "The price rose.",
+        '<section id="cookies"><h2>Cookies</h2><p>Take flour.</p></section>': "Cookies\nTake flour.",
+        '<div class="menu-of-the-day"><p>Soup.</p></div>': "Soup.",
+        '<div id="alert-fatigue"><p>Nurses tire.</p></div>': "Nurses tire.",
+        '<div class="ad">buy</div>': "",
+        '<div class="ad-box-2"><p>buy</p></div>': "",
+        '<p class="advertisement">buy</p>': "",
+        '<div class="cookie-notice"><p>We use cookies.</p></div>': "",
+        '<div id="comments"><h2>Comments</h2><p>Nice.</p></div>': "",
+        '<ul class="comment-list"><li>Nice.</ul>': "",
+        '<div class="share-buttons"><a href=1>Tell all</a></div>': "",
+        '<div class="post-sidebar"><p>About us.</p></div>': "",
+        "<aside>note</aside>": "",
+        '<form><p>Mail <input></p></form>': "",
+    }.items():
+        assert html_density.main_text(page.format(part)) == "\n".join(["T", "Intro text here, and some more of it.", *([text] if text else []), "aaa bbb"]), part
+
+
+def test_html_sibling_articles_and_pages_without_any():
+    long = "Some text of this part, which is long enough to be read as prose, and more of it."
+    two = f"<body><main><article><h2>One</h2><p>{long}</p></article><article><h2>Two</h2><p>{long}</p></article><section class=related><article><p>{long}</p></article></section></main></body>"
+    assert html_density.main_text(two) == f"One\n{long}\nTwo\n{long}"
+    links = "".join(f"<li><a href={i}>Story number {i}</a>" for i in range(8))
+    bare = f"<body><div><ul>{links}</ul></div><div><h1>H</h1><div><p>{long}</p><p>{long}</p><p>Short.</p></div></div><div><ul>{links}</ul></div></body>"
+    assert html_density.main_text(bare) == f"H\n{long}\n{long}\nShort."
+    main = f"<body><main><h1>H</h1><div><ul>{links}</ul></div><div><p>{long}</p><p>{long}</p></div><p>By A. Writer</p></main></body>"
+    assert html_density.main_text(main) == f"H\n{long}\n{long}\nBy A. Writer"
+    inside = f"<body><article><h1>H</h1><p>{long}</p><p>{long}</p><ul>{links}</ul></article></body>"
+    assert html_density.main_text(inside) == f"H\n{long}\n{long}"
+
+
+def plain_selection(tree):
+    """The selection by its definition, one node at a time: slow, recursive, and with nothing kept between nodes."""
+    import math
+
+    def nodes(i):
+        return [i] + [k for j in tree.parts[i] if isinstance(j, int) and not tree.cut[j] for k in nodes(j)]
+
+    def chars(i):
+        return sum(len(x.strip()) for k in nodes(i) for x in tree.parts[k] if isinstance(x, str))
+
+    def link_chars(i):  # nested links count as one
+        return chars(i) if tree.tag[i] == "a" else sum(link_chars(j) for j in tree.parts[i] if isinstance(j, int) and not tree.cut[j])
+
+    def density(i):
+        if tree.cut[i] or not chars(i):
+            return 0.0
+        c, lc, t, lt = chars(i), link_chars(i), len(nodes(i)) - 1, sum(tree.tag[k] == "a" for k in nodes(i))
+        ratio = math.log(max(c / max(1, lc) * max(1, t) / max(1, lt), 1.0))
+        base = math.log(c / max(1, c - lc) * lc + link_chars(0) / chars(0) * c + math.e)
+        return c / max(1, t) * (ratio / math.log(base) if base > 1.0000001 else ratio * 10)
+
+    live = nodes(0)
+    total = {i: sum(density(j) for j in tree.parts[i] if isinstance(j, int)) for i in live}
+    core = min((i for i in live), key=lambda i: (-round(total[i], 9), i))
+    path = [core]
+    while path[-1]:
+        path.append(tree.parent[path[-1]])
+    least = min([density(i) for i in path if i], default=0.0)
+    articles, mains = [i for i in path if tree.tag[i] == "article"], [i for i in path if tree.tag[i] == "main"]
+    scope = articles[-1] if articles else mains[0] if mains else 0
+    beside = [j for j in tree.parts[tree.parent[scope]] if isinstance(j, int) and j in live and tree.tag[j] == "article" and least > 0 and density(j) >= least] if articles else []
+    drop = set()
+    for i in path:
+        for j in tree.parts[i]:
+            if isinstance(j, int) and not tree.cut[j] and j not in path and density(j) < least and tree.tag[j] in html_density._BLOCK and tree.tag[j] not in html_density._HEADINGS:
+                share = link_chars(j) / chars(j) if chars(j) else 0.0
+                if share > 0.8 or i != core and (share > 0.5 or scope == 0):
+                    drop.add(j)
+        if i == scope:
+            break
+    return sorted({scope, *beside}), drop
+
+
+def test_html_density_against_its_definition():
+    rng = random.Random(47)
+
+    def part(depth):
+        kind = rng.choice(["p", "p", "text", "link", "box", "list", "cut", "head"]) if depth else rng.choice(["p", "text"])
+        if kind == "p":
+            return f"<p>{prose(rng, rng.randrange(1, 25))}</p>"
+        if kind == "text":
+            return prose(rng, rng.randrange(1, 9)) + " "
+        if kind == "link":
+            return f"<a href=/>{prose(rng, 3)}</a>"
+        if kind == "head":
+            return f"<h2>{prose(rng, 3)}</h2>"
+        if kind == "list":
+            return "<ul>" + "".join(f"<li><a href=/>{prose(rng, 2)}</a></li>" for _ in range(rng.randrange(1, 7))) + "</ul>"
+        if kind == "cut":
+            return f"<div class=ad>{part(depth - 1)}</div>"
+        tag = rng.choice(["div", "div", "section", "article", "main"])
+        return f"<{tag}>" + "".join(part(depth - 1) for _ in range(rng.randrange(1, 5))) + f"</{tag}>"
+
+    seen = collections.Counter()
+    for _ in range(400):
+        tree = html_density.Tree("<html><body>" + "".join(part(4) for _ in range(rng.randrange(1, 6))) + "</body></html>")
+        dens, sums, links = tree.density()
+        roots, drop = html_density.select(tree, dens, sums, links)
+        assert (roots, drop) == plain_selection(tree)
+        seen[len(roots) > 1, bool(drop), tree.tag[roots[0]]] += 1
+    assert len(seen) >= 6
+
+
 def test_html_hostile_and_query(spark, tables):
     deep = "<div>" * 20_000 + "x" + "</div>" * 20_000
     frame = spark.createDataFrame([(i, None if i % 2 else f"http://h/{i}", p) for i, p in enumerate([*PAGES, deep, "<p>" + "word " * 50_000, "<" * 5000, '<a href="' * 500, "<!--" * 1000])] + [(0, "again", "<p>a</p>"), (None, None, None)], "page_id bigint, url string, html string")
