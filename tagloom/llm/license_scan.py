@@ -3,7 +3,8 @@
 The words around each cue of licensing make candidate blocks. A license is found by its exact differences in wording: the words
 that name it must all stand in a stretch of the block, and of the template's words at most a share may be missing or
 changed there. Each such stretch is compressed alone and with the template as a zstandard raw dictionary; of
-templates of one license that match the same words, the one by which the stretch becomes smallest is reported. Nothing is dropped for its gain.
+templates of one license that match the same words, the one by which the stretch becomes smallest is reported. Nothing is dropped for its
+gain. Short wordings are refused where their sentence denies them or names another license among its words.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -19,42 +21,94 @@ from pyspark.sql import functions as F
 
 from .common import pick, slices
 
-# Wordings of well-known licenses and notices, with the words that tell each from the others.
-TEMPLATES: tuple[tuple[str, str, str], ...] = (
+#: Between two words of a cue may stand whatever is no word: line ends, marks of comments.
+_CUE = re.compile("licen[cs]e|copyright|permission is|permission to|redistribution and use|public domain|cc0|cc by|creative commons|free software".replace(" ", "[^a-zA-Z0-9]+"), re.I)
+_END = re.compile(r"[.!?;:](?:\s|\Z)")
+_WORDS = re.compile(r"[a-zA-Z]+[0-9]*|[0-9]+(?:\.[0-9]+)?")
+#: Words of a block at most.
+BLOCK_WORDS = 1024
+MAX_CHANGED = 0.35
+#: Wordings of so many words at most are refused where their sentence denies them, or names another license among its words.
+SHORT = 20
+_DENIALS = frozenset("not never no isn aren wasn cannot neither nor without unlike except".split())
+#: Words that name a license and stand in no other's wording by chance.
+_NAMES = frozenset("mit apache bsd gpl lgpl agpl mpl affero lesser mozilla eclipse cc0 nc nd sa noncommercial noderivatives noderivs sharealike commercial derivs derivatives".split())
+
+
+def words(text: str) -> list[str]:
+    return [w.lower() for w in _WORDS.findall(text)]
+
+
+# Wordings of well-known licenses and notices, with the words that tell each from the others. Of licenses that run to pages,
+# the title and the first words.
+_AS_IS = "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"
+_TWO_CLAUSES = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_NO_ENDORSEMENT = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_ADVERTISING = "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization."
+_VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_WORDINGS: tuple[tuple[str, str, str], ...] = (
     ("Apache-2.0", "apache 2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "apache 2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("Apache-2.0", "apache 2.0 january 2004", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions."),
     ("MIT", "mit", "Released under the MIT License."),
     ("MIT", "permission hereby granted free of charge sublicense", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
+    ("BSL-1.0", "permission hereby granted free charge object code executable derivative", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.'),
     ("ISC", "permission purpose fee hereby granted", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Zlib", "altered misrepresented origin plainly", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
     ("BSD-2-Clause", "redistribution source binary forms permitted", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-2-Clause", "redistribution source binary forms permitted retain reproduce", _TWO_CLAUSES),
+    ("BSD-3-Clause", "redistribution source binary forms permitted retain reproduce neither endorse", f"{_TWO_CLAUSES} 3. {_NO_ENDORSEMENT}"),
+    ("BSD-4-Clause", "redistribution source binary forms permitted retain reproduce neither endorse advertising acknowledgement", f"{_TWO_CLAUSES} 3. {_ADVERTISING} 4. {_NO_ENDORSEMENT}"),
+    ("BSD-2-Clause", "bsd 2 clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "bsd 3 clause", "Licensed under the BSD 3-Clause License."),
     ("GPL-3.0", "gnu general public 3", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "gnu general public 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-2.0", "gnu general public 2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "gnu general public 2", "This work is licensed under the GNU General Public License, version 2."),
     ("AGPL-3.0", "gnu affero general public 3", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("LGPL-3.0", "gnu lesser general public 3", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "gnu lesser general public 2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("GPL-3.0", "gnu general public 3 29 june 2007", f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM}"),
+    ("GPL-2.0", "gnu general public 2 june 1991", f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. {_VERBATIM}"),
+    ("AGPL-3.0", "gnu affero general public 3 19 november 2007", f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM}"),
+    ("LGPL-3.0", "gnu lesser general public 3 29 june 2007", f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM}"),
+    ("LGPL-2.1", "gnu lesser general public 2.1 february 1999", f"GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. {_VERBATIM}"),
     ("MPL-2.0", "mozilla public 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "cc by 4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "cc by nc 4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "cc by sa 4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-4.0", "creative commons attribution 4.0 international", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "creative commons attribution noncommercial 4.0 international", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("MPL-2.0", "mozilla public 2.0 definitions", "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
+    ("EPL-2.0", "eclipse public 2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
     ("CC0-1.0", "cc0 1.0", "Dedicated to the public domain under CC0 1.0."),
+    ("CC0-1.0", "cc0 1.0 universal", "Creative Commons Legal Code CC0 1.0 Universal"),
     ("Unlicense", "unencumbered public domain", "This is free and unencumbered software released into the public domain."),
 )
+# Built by rule: the notices of the GNU licenses, the Creative Commons licenses, and identifiers.
+_GNU = (("GPL-3.0", "", "3"), ("GPL-2.0", "", "2"), ("AGPL-3.0", "Affero ", "3"), ("LGPL-3.0", "Lesser ", "3"), ("LGPL-2.1", "Lesser ", "2.1"))
+_GNU_NOTICE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, "
+_CC_PARTS = {"NC": ("NonCommercial", "Non-Commercial"), "ND": ("NoDerivatives", "NoDerivs"), "SA": ("ShareAlike", "Share-Alike")}
+_CC_KINDS = ("BY", "BY-NC", "BY-ND", "BY-SA", "BY-NC-ND", "BY-NC-SA")
+_CC_VERSIONS = {"4.0": "International", "3.0": "Unported", "2.5": "Generic", "2.0": "Generic"}
+
+
+def _templates() -> tuple[tuple[str, str, str], ...]:
+    out = list(_WORDINGS)
+    for name, kind, version in _GNU:
+        key = f"gnu {kind.lower()}general public {version}"
+        out.append((f"{name}-or-later", f"{key} later", _GNU_NOTICE.format(kind=kind) + f"either version {version} of the License, or (at your option) any later version."))
+        out.append((f"{name}-only", f"{key} only", f"Licensed under the GNU {kind}General Public License version {version} only."))
+        out.append((f"{name}-or-later", f"{key} later", f"Licensed under the GNU {kind}General Public License version {version} or later."))
+    for kind in _CC_KINDS:
+        for version, port in _CC_VERSIONS.items():
+            name, short = f"CC-{kind}-{version}", kind.lower().replace("-", " ")
+            out.append((name, f"cc {short} {version}", f"Licensed under CC {kind} {version}."))
+            out.append((name, f"cc {short} {version}", f"CC {kind} {version}"))
+            for parts in product(*(_CC_PARTS[p] for p in kind.split("-")[1:])):
+                titled = "-".join(["Attribution", *parts])
+                out.append((name, f"creative commons {titled} {version}", f"This work is licensed under a Creative Commons {titled} {version} {port} License."))
+    for name in dict.fromkeys(n for n, _, _ in out):
+        out.append((name, f"spdx identifier {name}", f"SPDX-License-Identifier: {name}"))
+    return tuple(out)
+
+
+TEMPLATES = _templates()
 #: Licenses that bar commercial use or bind derived works.
-RESTRICTED = ("AGPL-3.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0")
-#: Between two words of a cue may stand whatever is no word: line ends, marks of comments.
-_CUE = re.compile("licen[cs]e|copyright|permission is|permission to|redistribution and use|public domain|cc0|creative commons|free software".replace(" ", "[^a-zA-Z0-9]+"), re.I)
-_WORDS = re.compile(r"[a-zA-Z]+[0-9]*|[0-9]+(?:\.[0-9]+)?")
-#: Words of a block at most.
-BLOCK_WORDS = 1024
-MAX_CHANGED = 0.35
-
-
-def words(text: str) -> list[str]:
-    return [w.lower() for w in _WORDS.findall(text)]
-
-
+RESTRICTED = tuple(sorted({n for n, _, _ in TEMPLATES if n.split("-")[0] in ("GPL", "LGPL", "AGPL", "MPL", "EPL") or {"NC", "SA", "ND"} & set(n.split("-"))}))
 #: Words that a confirmed wording takes up at most.
 SPAN = max(len(w) + int(MAX_CHANGED * len(w)) for w in (words(t) for _, _, t in TEMPLATES))
 
@@ -132,6 +186,16 @@ class Scanner:
                 out.append((j, end, lacks[::-1], extra[::-1]))
         return out
 
+    def refused(self, text: str, placed: list, block: list[str], x: int, y: int, template: int, extra: list[str]) -> bool:
+        """Whether a short wording is denied by its sentence (up to six words before it, or words in it), or another license is named in it."""
+        _, _, own, _ = self.templates[template]
+        if len(own) > SHORT:
+            return False
+        if (_NAMES & set(extra)) - set(own) or _DENIALS & set(extra):
+            return True
+        before = [w for k, w in enumerate(block[max(0, x - 6) : x], max(0, x - 6)) if not _END.search(text, placed[k].end(), placed[x].start())]
+        return bool(_DENIALS & set(before))
+
     def scan(self, text: str) -> list[tuple]:
         """(license, start, end, gain, words lacking, words extra) of stretches with a license's wording; those of one license don't overlap.
 
@@ -145,6 +209,8 @@ class Scanner:
             for i, (name, key, _, _) in enumerate(self.templates):
                 if key <= have:
                     for x, y, lacks, extra in self.stretches(block, i):
+                        if self.refused(text, placed, block, x, y, i, extra):
+                            continue
                         saved, share = self.gain(block[x:y], i)
                         hits.append((-saved, i, key, (name, placed[x].start(), placed[y - 1].end(), round(share, 4), lacks, extra)))
         found = []
@@ -160,7 +226,9 @@ _FOUND = "array<struct<license:string,start:int,end:int,gain:double,lacking:arra
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_blocks`` (candidates) and ``found`` (confirmed licenses with their place, gain and differences) of each row.
 
-    A null text has no blocks. Repeated rows and null ids are kept; other columns are dropped.
+    A null or empty text has no blocks. Repeated rows and null ids are kept; other columns are dropped, whatever their names. An empty
+    table gives an empty one. A very long text is read whole, in blocks of ``BLOCK_WORDS`` words that overlap, around each of its cues. Of
+    templates of equal gain on the same words the first counts.
     """
     kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("gain", pa.float64()), ("lacking", pa.list_(pa.string())), ("extra", pa.list_(pa.string()))]))
     names = ("license", "start", "end", "gain", "lacking", "extra")

@@ -388,6 +388,80 @@ def test_hard_wrapped_licenses():
     assert [x[0] for x in scanner.scan(many)] == ["MIT"] * 40 and len(license_scan.blocks(many)) > 5
 
 
+def test_licenses_of_one_family_are_told_apart():
+    scanner = license_scan.Scanner()
+    wording = {n: t for n, _, t in reversed(license_scan.TEMPLATES)}
+    longest = {n: max((t for m, _, t in license_scan.TEMPLATES if m == n), key=len) for n in wording}
+    for text, names in {
+        longest["BSD-2-Clause"]: ["BSD-2-Clause"],
+        longest["BSD-3-Clause"]: ["BSD-3-Clause"],
+        longest["BSD-4-Clause"]: ["BSD-4-Clause"],
+        "This text is CC BY-ND 4.0.": ["CC-BY-ND-4.0"],
+        "licensed under CC BY-NC-SA 4.0": ["CC-BY-NC-SA-4.0"],
+        "Licensed under CC BY 3.0.": ["CC-BY-3.0"],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License.": ["CC-BY-NC-ND-3.0"],
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.": ["LGPL-2.1"],
+        longest["LGPL-2.1-or-later"]: ["LGPL-2.1-or-later"],
+        "Licensed under the GNU General Public License version 2 only.": ["GPL-2.0-only"],
+        "SPDX-License-Identifier: GPL-2.0-or-later": ["GPL-2.0-or-later"],
+        "Licensed under the GNU Affero General Public License version 3 or later.": ["AGPL-3.0-or-later"],
+        "Not released under the MIT License.": [],
+        "It was never licensed under the Apache License, Version 2.0.": [],
+        "No file here is licensed under CC BY 4.0.": [],
+        "We do not care. Released under the MIT License.": ["MIT"],
+        "Licensed under the Apache License, Version 1.1.": [],
+        "This work is licensed under the GNU Free Documentation License, version 3.": [],
+    }.items():
+        assert [x[0] for x in scanner.scan(text)] == names, text
+    assert {"GPL-2.0-only", "LGPL-2.1", "CC-BY-NC-ND-3.0", "CC-BY-SA-4.0"} <= set(license_scan.RESTRICTED) and not {"MIT", "CC-BY-4.0", "CC0-1.0", "BSD-3-Clause"} & set(license_scan.RESTRICTED)
+
+
+def test_differences_of_wording_against_brute_force():
+    rng, scanner = random.Random(48), license_scan.Scanner()
+
+    def common(a, b, key):
+        """The longest common subsequence that holds every naming word of a; None if there is none."""
+        best = {0: 0}
+        rows = [[0] * (len(b) + 1)]
+        for x in a:
+            row = [None if x in key else rows[-1][0]]
+            for j, y in enumerate(b):
+                ways = [w for w in (row[-1], None if x in key else rows[-1][j + 1], rows[-1][j] + 1 if x == y and rows[-1][j] is not None else None) if w is not None]
+                row.append(max(ways, default=None))
+            rows.append(row)
+        return rows[-1][-1] if best else None
+
+    for _ in range(60):
+        i = rng.randrange(len(scanner.templates))
+        _, key, own, _ = scanner.templates[i]
+        if len(own) > 24:
+            continue
+        block = [w for w in own if rng.random() > 0.1]
+        for _ in range(rng.randrange(4)):
+            block.insert(rng.randrange(len(block) + 1), rng.choice([*own, "x", "y"]))
+        block = ["x"] * rng.randrange(3) + block + ["y"] * rng.randrange(3)
+        most = int(license_scan.MAX_CHANGED * len(own))
+        least = None
+        for x in range(len(block)):
+            for y in range(x + 1, len(block) + 1):
+                c = common(own, block[x:y], key)
+                if c is not None and (cost := len(own) + (y - x) - 2 * c) <= most:
+                    least = cost if least is None else min(least, cost)
+        found = scanner.stretches(block, i)
+        assert (len(found[0][2]) + len(found[0][3]) if found else None) == least, (own, block)
+
+
+def test_license_in_one_long_line_and_clashing_columns(spark, odd):
+    rng = random.Random(49)
+    mit = next(t for n, _, t in license_scan.TEMPLATES if n == "MIT" and len(t) > 100)
+    long = f"{prose(rng, 30_000)} {mit} {prose(rng, 30_000)} Released under the MIT License. {prose(rng, 9000)}"
+    assert [x[0] for x in license_scan.Scanner().scan(long)] == ["MIT", "MIT"]
+    assert [x[0] for x in license_scan.Scanner().scan(long.replace(" ", "\n"))] == ["MIT", "MIT"]
+    clash = odd.withColumn("found", F.lit(1)).withColumn("n_blocks", F.lit("x")).withColumn("id", F.lit(2))
+    out = license_scan.scan(clash)
+    assert out.columns == ["doc_id", "n_blocks", "found"] and out.count() == odd.count() and license_scan.scan(odd.limit(0)).count() == 0
+
+
 # --- HTML --------------------------------------------------------------------------------------
 
 PAGES = {
