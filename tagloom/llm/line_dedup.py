@@ -1,7 +1,8 @@
 """Line dedup by site-relative frequency, in DataFrame functions only.
 
-A line (trimmed of blanks) is boilerplate of its host when more than ``ratio`` of the host's pages hold it, on at least
-``min_lines`` pages of a host of at least ``min_pages``: on a smaller host a share says nothing.
+A line (trimmed of blanks) is boilerplate of its host when the share of the host's pages that hold it exceeds ``ratio`` by more than
+chance explains: by ``SIGMAS`` standard deviations of a share of ``ratio`` among so many pages. So no host is too small: four pages of ten
+are enough, and the more pages a host has, the closer to ``ratio`` a share may be. A line of a single page repeats nothing.
 Lines are counted by two 64-bit hashes, so only fixed-width keys are shuffled, after partial counts. A host can have
 no more boilerplate lines than lines-per-page / ratio, so they fit in one array; that
 table is broadcast where its counted lines stay under ``BROADCAST_LINES``, and otherwise joined
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 RATIO = 0.08
-MIN_PAGES = 20
-MIN_LINES = 5
+SIGMAS = 3.0
+MIN_PAGES = 1
+MIN_LINES = 2
 #: 16 bytes a line: a broadcast of a few MB at most.
 BROADCAST_LINES = 200_000
 SALTS = 64
@@ -33,25 +35,33 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_lines: int = MIN_LINES) -> DataFrame:
+def variance(ratio: float = RATIO, sigmas: float = SIGMAS) -> float:
+    """What the square of the pages beyond ``ratio`` must exceed, for each page of the host."""
+    return sigmas * sigmas * ratio * (1 - ratio)
+
+
+def boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_lines: int = MIN_LINES, sigmas: float = SIGMAS) -> DataFrame:
     """The keys of boilerplate lines: host, a, b, pages (with the line), total (pages of the host). Null is a host of its own."""
     pages = df.select(F.col(f"`{host_col}`").alias("host"), F.col(f"`{text_col}`").alias("text"))
     real = F.filter(_lines(F.col("text")), lambda x: F.btrim(x, F.lit(_BLANKS)) != "")
     keys = pages.select("host", F.explode(F.array_distinct(F.transform(real, _key))).alias("k")).select("host", "k.a", "k.b")
     counts = keys.groupBy("host", "a", "b").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_lines)
     totals = pages.groupBy("host").agg(F.count("*").alias("total")).where(F.col("total") >= min_pages).withColumnRenamed("host", "site")
-    return counts.join(totals, F.col("host").eqNullSafe(F.col("site"))).where(F.col("pages") > F.lit(ratio) * F.col("total")).drop("site")
+    beyond = F.col("pages") - F.lit(ratio) * F.col("total")
+    both = counts.join(totals, F.col("host").eqNullSafe(F.col("site")))
+    return both.where((beyond > 0) & (beyond * beyond > F.lit(variance(ratio, sigmas)) * F.col("total"))).drop("site")
 
 
-def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_lines: int = MIN_LINES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_lines: int = MIN_LINES, sigmas: float = SIGMAS, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """df, every row and column of it, with ``text_col`` less its host's boilerplate lines, and two columns more:
     ``lines_total`` and ``lines_dropped`` (they replace columns of those names).
 
     Kept lines stay as they are, blank lines too; a text of nothing but boilerplate becomes empty. A null text stays null, with 0 lines.
-    Each row is a page, repeated rows included.
+    Each row is a page, repeated rows included; null hosts are one host. An empty table gives an empty one. A line that stands twice on a
+    page counts once. A very long text is one row of the scan, split within its task.
     """
     spark = df.sparkSession
-    found, _ = materialize(spark, boilerplate(df, host_col, text_col, ratio, min_pages, min_lines), "boilerplate")
+    found, _ = materialize(spark, boilerplate(df, host_col, text_col, ratio, min_pages, min_lines, sigmas), "boilerplate")
     sites = found.groupBy(F.col("host").alias("__site")).agg(F.collect_list(F.struct("a", "b")).alias("__keys"))
     host, text = F.col(f"`{host_col}`"), F.col(f"`{text_col}`")
     if found.count() <= broadcast_lines:

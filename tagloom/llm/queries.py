@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch, table
+from .line_dedup import variance
 
 TOKENIZERS = os.path.dirname(public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -105,11 +106,12 @@ ORACLE_SQL: dict[str, str] = {
 WITH lines AS (
   SELECT source, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, {_BLANKS})), lambda x: x <> ''))) AS line
   FROM documents WHERE text IS NOT NULL),
-totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source HAVING count(*) >= 20),
+totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
 found AS (
   SELECT l.source, list(line) AS boiler
-  FROM (SELECT source, line, count(*) AS pages FROM lines GROUP BY source, line HAVING count(*) >= 5) l
-  JOIN totals t ON l.source IS NOT DISTINCT FROM t.source WHERE pages > 0.08::DOUBLE * total GROUP BY l.source),
+  FROM (SELECT source, line, count(*) AS pages FROM lines GROUP BY source, line HAVING count(*) >= 2) l
+  JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
+  WHERE pages - 0.08::DOUBLE * total > 0 AND (pages - 0.08::DOUBLE * total) * (pages - 0.08::DOUBLE * total) > {variance()!r}::DOUBLE * total GROUP BY l.source),
 cut AS (
   SELECT d.doc_id, d.source, string_split(d.text, chr(10)) AS old,
     CASE WHEN f.boiler IS NULL THEN string_split(d.text, chr(10))
