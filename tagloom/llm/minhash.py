@@ -9,6 +9,10 @@
    largest component are compared with it and with each other, in blocks of ``BLOCK``, except within a
    component, where a link could change nothing. Members of surviving pairs, not the pairs, go on to the
    block's task with their texts, where full sets confirm the links; components follow again.
+4. Buckets with more than ``HOT`` blocks of such members (texts that share a long passage, say, but are not alike enough) are not
+   compared block by block. Their members' shingles are put in one order, the rarest first; of two sets alike enough, some
+   shingle stands among the first ninth of the smaller one and the first fifth of the larger one. Only members that meet
+   so go on, as pairs, to the signatures and to the full sets. What a group shares stands last, so it makes no pairs.
 
 So no pair that could join two components is left untested, and copies never expand into all pairs.
 With 40 bands of 6 rows, a pair of similarity 0.8 shares no band with probability 5e-6. The longer a
@@ -40,6 +44,10 @@ BATCH = 64
 BLOCK = 256
 #: Shingles of a block; one of longer texts has fewer of them.
 MASS = 1 << 20
+#: Blocks of a bucket's members outside its largest component, beyond which rare shingles choose the pairs.
+HOT = 4
+#: Counters of shingles, by their last bits: only how early a shingle stands depends on them.
+SLOTS = 1 << 16
 #: Pairs of one text that a task verifies at most; more are dealt to several tasks.
 MEMBERS = 256
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -198,19 +206,82 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     return texts.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def across(buckets: DataFrame, labels: DataFrame, reps: DataFrame, length: int, threshold: float, miss: float) -> DataFrame:
-    """The members of each block task that share a bucket with a member of another component which signatures don't rule out.
-
-    buckets: key, id, n; labels: id, component. In a bucket of several components, its largest is the
-    majority; the others are compared with it and with each other, block by block. A pair counts in the
-    first bucket that it shares. At most the task's own rows come out, whatever the number of pairs.
-    """
+def divided(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (key, id, n) of buckets with several components: also component, top (the largest component), major and minor
+    (blocks of its members, and of the others)."""
     named = buckets.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     counts = named.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("mass"))
     split = counts.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("c").alias("c"), F.sum("mass").alias("mass"), F.max(F.struct("c", "component", "mass")).alias("top")).where("kinds > 1")
     blocks = lambda c, mass: F.ceil(F.greatest(c / BLOCK, mass / MASS))
     split = split.select("key", F.col("top.component").alias("top"), blocks(F.col("top.c"), F.col("top.mass")).alias("major"), blocks(F.col("c") - F.col("top.c"), F.col("mass") - F.col("top.mass")).alias("minor"))
-    rows = named.join(split, "key").withColumn("big", F.col("component") == F.col("top"))
+    return named.join(split, "key")
+
+
+def met(hot: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of hot buckets, of different components, that can be alike enough: prefix filtering on full sets.
+
+    hot: id, component; docs: id, text. Any order of shingles gives every such pair; the rarest first makes them few. With
+    t = percent / 100, sets of sizes x <= y that are alike enough have t (x + y) / (1 + t) shingles in common, so the first
+    x - 2 t x / (1 + t) + 1 of the one and the first y - t y + 1 of the other meet. One row for each of these goes through a shuffle.
+    In a shingle's group, members of its largest component are not held against each other.
+    """
+    spark, kind = docs.sparkSession, hot.schema["id"].dataType.simpleString()
+    texts, path = materialize(spark, hot.join(docs.hint("merge"), "id").select("id", "component", "text"), "hot")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in slices(batches, "text"):
+            words = Words(batch.column(2), NOT_SPACE)
+            for a, b in zip(words.first[:-1], words.first[1:]):
+                total += np.bincount((shingles(words.hash[a:b], k) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["slot", "c"])
+
+    often = np.zeros(SLOTS, np.int64)
+    for r in texts.mapInArrow(count, "slot bigint, c bigint").groupBy("slot").agg(F.sum("c").alias("c")).collect():  # SLOTS rows at most
+        often[r.slot] = r.c
+    sent = spark.sparkContext.broadcast(often)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            words = Words(batch.column(2), NOT_SPACE)
+            keys, own, sizes, early = [], [], [], []
+            for r, (a, b) in enumerate(zip(words.first[:-1], words.first[1:])):
+                s = shingles(words.hash[a:b], k)
+                n = len(s)
+                if not n:
+                    continue
+                s = s[np.lexsort((s, sent.value[(s & np.uint64(SLOTS - 1)).astype(np.int64)]))]
+                long, short = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+                keys.append(s[:long])
+                own.append(np.full(long, r))
+                sizes.append(np.full(long, n))
+                early.append(np.arange(long) < short)
+            if keys:
+                at = pa.array(np.concatenate(own))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(early))], ["key", "id", "component", "n", "early"])
+
+    rows, rows_path = materialize(spark, texts.mapInArrow(prefixes, f"key bigint, id {kind}, component {kind}, n bigint, early boolean"), "prefixes")
+    counts = rows.groupBy("key", "component").agg(F.count("*").alias("c"), F.max("early").alias("early"))
+    tops = counts.groupBy("key").agg(F.count("*").alias("kinds"), F.max("early").alias("any"), F.max(F.struct("c", "component")).alias("top")).where("kinds > 1 and any").select("key", F.col("top.component").alias("top"))
+    shared = rows.join(tops, "key").withColumn("big", F.col("component") == F.col("top"))
+    small, large = (shared.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "big", "early")]) for x in "xy")
+    alike = (F.col("component_x") != F.col("component_y")) & (F.struct("n_x", "id_x") < F.struct("n_y", "id_y")) & (100 * F.col("n_x") >= percent * F.col("n_y"))
+    both = small.where("early_x and not big_x").join(large, "key").where(alike)
+    both = both.unionByName(small.where("early_x and big_x").join(large.where("not big_y"), "key").where(alike))
+    pairs, _ = materialize(spark, both.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct(), "met")
+    remove(spark, path, rows_path)
+    return pairs
+
+
+def across(rows: DataFrame, reps: DataFrame, length: int, threshold: float, miss: float) -> DataFrame:
+    """The members of each block task that share a bucket with a member of another component which signatures don't rule out.
+
+    rows: as from divided(). In a bucket of several components, its largest is the
+    majority; the others are compared with it and with each other, block by block. A pair counts in the
+    first bucket that it shares. At most the task's own rows come out, whatever the number of pairs.
+    """
+    rows = rows.withColumn("big", F.col("component") == F.col("top"))
     mine = F.pmod(F.xxhash64("id", "key"), F.when(F.col("big"), F.col("major")).otherwise(F.col("minor")))
     rows = rows.withColumn("block", mine)
     to = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
@@ -350,26 +421,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark, percent = docs.sparkSession, round(100 * threshold)
     texts = pick(docs, id=id_col, text=text_col).select("id", F.col("text").cast("string"))
-    sigs, _ = materialize(spark, signatures(texts, k, bands, rows, length), "signatures")
+    sigs, sigs_path = materialize(spark, signatures(texts, k, bands, rows, length), "signatures")
     named = sigs.where("id is not null and n > 0")
     first = named.groupBy("ka", "kb", "n").agg(F.min(F.struct("id", "bands", "sig")).alias("r"))
-    reps, _ = materialize(spark, first.select("ka", "kb", "n", "r.*"), "classes")
+    reps, reps_path = materialize(spark, first.select("ka", "kb", "n", "r.*"), "classes")
 
     rows_of = reps.select(F.explode("bands").alias("key"), "id", "n")
     shared = rows_of.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("low")).where("c > 1").select("key", F.col("low.id").alias("low"), F.col("low.n").alias("low_n"))
     buckets, buckets_path = materialize(spark, rows_of.join(shared, "key"), "buckets")
     star = buckets.where("id <> low").where(_similar_size("n", "low_n", threshold)).select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     tested, tested_path = materialize(spark, prune(star, reps, length, threshold, miss), "pairs")
-    links, _ = materialize(spark, verify(tested, texts, k, percent), "verified")
+    links, links_path = materialize(spark, verify(tested, texts, k, percent), "verified")
     labels = components(links)
 
-    members, members_path = materialize(spark, across(buckets.select("key", "id", "n"), labels, reps, length, threshold, miss), "members")
-    found, _ = materialize(spark, joined(members, texts, k, length, threshold, miss, percent), "verified")
-    labels = components(links.unionByName(found))
-    remove(spark, buckets_path, tested_path, members_path)
+    rows, rows_path = materialize(spark, divided(buckets.select("key", "id", "n"), labels), "divided")
+    hot = rows.where(F.col("minor") > HOT)
+    members, members_path = materialize(spark, across(rows.where(F.col("minor") <= HOT), reps, length, threshold, miss), "members")
+    found, found_path = materialize(spark, joined(members, texts, k, length, threshold, miss, percent), "verified")
+    links = links.unionByName(found)
+    spent = [buckets_path, tested_path, links_path, rows_path, members_path, found_path]
+    if hot.limit(1).count():
+        # Links found by now join components, so fewer pairs are left to find.
+        labels = components(links)
+        now = hot.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        more, more_path = materialize(spark, prune(met(now, texts, k, percent), reps, length, threshold, miss), "pairs")
+        late, late_path = materialize(spark, verify(more, texts, k, percent), "verified")
+        links = links.unionByName(late)
+        spent += [more_path, late_path]
+    labels = components(links)
 
     classes = reps.select("ka", "kb", "n", "id").join(labels, "id", "left").select("ka", "kb", "n", F.coalesce("component", "id").alias("component"))
     # A class of many copies makes its partition large; the adaptive join splits it, rows are small.
     out = sigs.select("id", "n", "ka", "kb").join(classes, ["ka", "kb", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
+    result, _ = materialize(spark, out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept")), "near-duplicates")
+    remove(spark, sigs_path, reps_path, *spent)
+    return result.withColumnRenamed("id", id_col)

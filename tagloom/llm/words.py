@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -28,11 +30,9 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes of words: all but ASCII white space; and lower-case letters, digits and whatever is not ASCII.
 NOT_SPACE = ~_SPACE
 ALNUM = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
-_VALUE = mix64(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))[_LOWER]
-_POWER = np.ones(1 << 16, _U)
-_POWER[1:] = _U(0xD6E8FEB86659FD93)
-_POWER = np.multiply.accumulate(_POWER)
-_CHUNK = 1 << 20
+_K = _U(0x9E3779B97F4A7C15)
+#: Longer words, in bytes, are hashed one by one.
+_LONG = 64
 
 
 class Words:
@@ -53,22 +53,28 @@ class Words:
         after[rows[rows > 0] - 1] = False
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, offsets)
-        self.hash = self._hashes(inside)
-
-    def _hashes(self, inside: np.ndarray) -> np.ndarray:
-        out = np.empty(len(self.start), _U)
-        a = 0
-        while a < len(out):
-            b = max(a + 1, int(np.searchsorted(self.start, self.start[a] + _CHUNK)))
-            lo, hi = self.start[a], self.end[b - 1]
-            value = _VALUE[self.data[lo:hi]]
-            starts = self.start[a:b] - lo
-            place = np.arange(hi - lo) - np.repeat(starts, np.diff(np.append(starts, hi - lo)))
-            value *= _POWER[place & 0xFFFF]
-            value[~inside[lo:hi]] = 0
-            out[a:b] = np.add.reduceat(value, starts)
-            a = b
-        return mix64(out + (self.end - self.start).astype(_U) * _U(0x9E3779B97F4A7C15))
+        self.hash = self._hashes()
+
+    def _hashes(self) -> np.ndarray:
+        """A mixed hash of each word, lower-cased: eight bytes at a time, for all words that have so many; long words by BLAKE2."""
+        size = self.end - self.start
+        out = size.astype(_U) * _K
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        np.take(_LOWER, self.data, out=padded[:-8])
+        eights = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))
+        words = np.flatnonzero(size <= _LONG)
+        for k in range(0, _LONG, 8):
+            words = words[size[words] > k]
+            if not len(words):
+                break
+            lane = eights[self.start[words] + k]
+            left = size[words] - k
+            short = left < 8
+            lane[short] &= (_U(1) << (left[short] * 8).astype(_U)) - _U(1)
+            out[words] = mix64((out[words] ^ lane) * _K + _U(k))
+        for i in np.flatnonzero(size > _LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.text(i), digest_size=8).digest(), "little")
+        return out
 
     def text(self, i: int) -> bytes:
         """Word i, lower-cased."""
