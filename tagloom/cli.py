@@ -92,6 +92,8 @@ def run_demux(args: argparse.Namespace, spark=None) -> str:
     plan.unpersist()
     with open(planned[-1], "w", encoding="utf-8") as f:
         f.write(text)
+    if not args.quiet:
+        print(summary.human(text), file=sys.stderr)
     return text
 
 

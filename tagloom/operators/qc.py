@@ -68,31 +68,85 @@ def geometry(df_samples: DataFrame) -> DataFrame:
 
 
 def representative_samples(counts: DataFrame) -> DataFrame:
-    """The samples of lowest, median and highest count (which, label, count); ties go by label."""
-    n = counts.count()
+    """The samples of lowest, middle and highest count (which, label, count) among those with reads; ties go by label. The middle one of
+    an even number is the upper one. A sample that would stand twice stands once, under the first of its roles."""
     from pyspark.sql import Window
 
-    ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy("count", "label")))  # a row for each sample
-    picks = F.when(F.col("rank") == 1, "min").when(F.col("rank") == n, "max")
-    out = ranked.withColumn("which", picks).where("which is not null").unionByName(ranked.where(F.col("rank") == (n + 1) // 2).withColumn("which", F.lit("median")))
-    return out.select("which", "label", "count")
+    some = counts.where("count > 0")
+    ranked = some.withColumn("rank", F.row_number().over(Window.orderBy("count", "label")) - 1).crossJoin(F.broadcast(some.agg(F.count("*").alias("n"))))  # a row for each sample
+    which = F.when(F.col("rank") == 0, "min").when(F.col("rank") == F.floor(F.col("n") / 2), "median").when(F.col("rank") == F.col("n") - 1, "max")
+    return ranked.withColumn("which", which).where("which is not null").select("which", "label", "count")
 
 
-def verify_output(raw: DataFrame, out: DataFrame) -> DataFrame:
-    """problem and count: mates of different ids, reads that the input lacks, sequences that aren't part of the input's."""
-    ids = out.where(read_id(F.col("r1_name")) != read_id(F.col("r2_name"))).agg(F.count("*").alias("count")).select(F.lit("mate_ids").alias("problem"), "count")
-    a = raw.select("ord", F.col("r1_seq").alias("x1"), F.col("r2_seq").alias("x2"))
-    b = out.select("ord", F.col("r1_seq").alias("y1"), F.col("r2_seq").alias("y2"), F.col("swapped"))
-    both = b.join(a, "ord", "left")
-    lost = both.agg(F.count_if("x1 is null").alias("count")).select(F.lit("not_in_input").alias("problem"), "count")
-    source = lambda s, o: F.when(F.col("swapped"), F.col(o)).otherwise(F.col(s))
-    other = both.agg(F.count_if(~(F.contains(source("x1", "x2"), F.col("y1")) & F.contains(source("x2", "x1"), F.col("y2")))).alias("count")).select(F.lit("not_of_input").alias("problem"), "count")
-    return ids.unionByName(lost).unionByName(other)
+def verify_output(raw: DataFrame, out: DataFrame, sheet: Sheet, counts: DataFrame) -> DataFrame:
+    """problem and count of everything wrong with the output of a paired run that cuts barcodes, for five checks:
 
+    mates whose ids differ; samples whose records are not as many as counts (label, count) say; pairs that the input lacks; pairs that follow
+    one of a later place in the input; mates that are no prefix of the input's, in order and without its barcodes.
+    raw: ord and r1_*, r2_*; out: label, place (of a record in its sample's files), r1_name, r1_seq, r2_name, r2_seq.
+    """
+    from pyspark.sql import Window
 
-def digests(df: DataFrame, text: str = "text") -> DataFrame:
-    """label, mate, records and a digest of the records that doesn't depend on how they are partitioned."""
-    return df.groupBy("label", "mate").agg(F.count("*").alias("records"), F.sum(F.xxhash64("ord", text).cast("decimal(38,0)")).alias("digest"))
+    own = out.withColumn("id", read_id(F.col("r1_name")))
+    source = raw.select(read_id(F.col("r1_name")).alias("id"), "ord", F.col("r1_seq").alias("x1"), F.col("r2_seq").alias("x2"))
+    rows = own.join(source, "id", "left").withColumn("last", F.max("ord").over(Window.partitionBy("label").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)))
+    codes = sheet.samples
+    table = out.sparkSession.createDataFrame([(s.label, s.barcode1.raw, s.barcode2.raw) for s in codes], "label string, b1 string, b2 string")
+    rows = rows.join(F.broadcast(table), "label", "left")  # a row for each sample
+    plain = F.startswith("x1", "b1") & F.startswith("x2", "b2")
+    one, two = F.when(plain, F.col("x1")).otherwise(F.col("x2")), F.when(plain, F.col("x2")).otherwise(F.col("x1"))
+    cut = lambda x, b: F.substr(x, F.length(b) + 1)
+    here = F.col("b1").isNotNull() & F.col("x1").isNotNull()
+    fits = F.startswith(cut(one, F.col("b1")), F.col("r1_seq")) & F.startswith(cut(two, F.col("b2")), F.col("r2_seq"))
+    swapped = F.startswith("x1", "b2") & F.startswith("x2", "b1")
+    checks = {
+        "mate_ids": F.col("id") != read_id(F.col("r2_name")),
+        "not_in_input": F.col("x1").isNull(),
+        "out_of_order": F.col("ord") < F.col("last"),
+        "no_prefix": here & ~((plain | swapped) & fits),
+    }
+    found = rows.agg(*[F.count_if(c).alias(n) for n, c in checks.items()])
+    long = found.select(F.explode(F.array(*[F.struct(F.lit(n).alias("problem"), F.col(n).alias("count")) for n in checks])).alias("x")).select("x.*")
+    written = out.groupBy("label").agg(F.count("*").alias("count"))
+    wrong = compare_counts(counts, written).agg(F.count_if(F.col("difference") != 0).alias("count")).select(F.lit("counts").alias("problem"), "count")
+    return long.unionByName(wrong)
+
+
+def file_digests(spark, paths: list[str]) -> DataFrame:
+    """path, records and sha256 (of the decompressed content) of FASTQ files, one task a file, streamed.
+
+    A file whose lines are no multiple of four is an error.
+    """
+    import hashlib
+
+    import pyarrow as pa
+
+    from ..errors import FastqError
+    from ..sources.fastq import content
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                sha, lines, last = hashlib.sha256(), 0, b"\n"
+                for data in content(path):
+                    sha.update(data)
+                    lines += data.count(b"\n")
+                    last = data
+                lines += not last.endswith(b"\n")
+                if lines % 4:
+                    raise FastqError(f"{path}: {lines} lines are no multiple of 4")
+                rows.append((path, lines // 4, sha.hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["path", "records", "sha256"])
+
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    return files.mapInArrow(run, "path string, records bigint, sha256 string")
+
+
+def same_content(a: DataFrame, b: DataFrame, key: str = "path") -> DataFrame:
+    """key, sha256 of a and of b, for every file that one of two runs lacks or that differs."""
+    left, right = a.select(key, F.col("sha256").alias("a")), b.select(key, F.col("sha256").alias("b"))
+    return left.join(right, key, "full").where(~F.col("a").eqNullSafe(F.col("b")))
 
 
 def expected_counts(metrics: DataFrame, expected: dict[str, int]) -> DataFrame:

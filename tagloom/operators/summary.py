@@ -63,6 +63,27 @@ def summary_tsv(df: DataFrame, paired: bool) -> str:
     return "".join(f"{m}\t{c}\n" for m, c in out)
 
 
+def rates(df: DataFrame, paired: bool) -> DataFrame:
+    """metric and rate (six decimals, as text): reads assigned after the length filter, and matched before it, of all."""
+    names = {"match_rate": "assigned", "assignment_rate_before_filter": "matched_before_filter"}
+    flags = _flags(paired)
+    one = df.agg(F.count("*").alias("n"), *[F.count_if(flags[f]).alias(m) for m, f in names.items()])
+    share = lambda m: F.format_string("%.6f", F.when(F.col("n") > 0, F.col(m) / F.col("n")).otherwise(F.lit(0.0)))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), share(m).alias("rate")) for m in names])).alias("x")).select("x.*")
+
+
+def human(summary: str) -> str:
+    """The text of a summary file as a table for people: counts with separators, shares of all reads, samples by name."""
+    rows = dict(line.split("\t") for line in summary.splitlines()[1:])
+    total = max(1, int(rows["total_reads"]))
+    listed = [("reads", "total_reads"), ("assigned", "assigned"), ("unassigned", "unassigned"), ("  of these ambiguous", "ambiguous_after_filter"), ("ambiguous before the length filter", "ambiguous"), ("quality trimmed", "quality_trimmed"), ("adapter trimmed", "adapter_trimmed"), ("too short", "too_short")]
+    if int(rows["orientation_canonical"]) + int(rows["orientation_swapped"]):
+        listed += [("mates in order", "orientation_canonical"), ("mates swapped", "orientation_swapped")]
+    out = [f"{title:<36}{int(rows[m]):>16,}" + ("" if m == "total_reads" else f"{100 * int(rows[m]) / total:>9.2f} %") for title, m in listed]
+    samples = [(m[7:], int(c)) for m, c in rows.items() if m.startswith("sample:")]
+    return "\n".join([*out, *(["", "reads by sample"] if samples else []), *(f"  {name:<34}{count:>16,}" for name, count in samples)]) + "\n"
+
+
 def validate(df: DataFrame, paired: bool) -> DataFrame:
     """records, bases, min_length and max_length (over both mates; null without records)."""
     mates = ("r1", "r2") if paired else ("r1",)

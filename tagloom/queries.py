@@ -15,7 +15,10 @@ from .operators import qc, summary
 from .operators.match import match
 from .operators.trim import allowed_errors, trims
 from .plans.config import ADAPTER_R1, ADAPTER_R2, Barcode, Options, Sample, Sheet, Tso
-from .plans.demux import demux, select_range
+from .plans.demux import demux, select_range, written
+from .sources.fastq import FILE_STEP, exists, file_name, head, read_fastq, write_fastq
+from .sources.samples import parse_sheet
+from .sources.shared import scratch
 
 
 def _hex(x: str) -> str:
@@ -40,7 +43,9 @@ FROM (SELECT ord, h,
 
 
 def _views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "nation")}
+    """The tables behind the reads. The keys of orders are dealt to all cores where the file has fewer row groups; reads are derived from them afterwards."""
+    out = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "nation")}
+    return out | {"orders": out["orders"].select("o_orderkey").repartition(spark.sparkContext.defaultParallelism)}
 
 
 def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -220,16 +225,116 @@ def output_digests(spark, sf_dir):
 
 def fastq_roundtrip(spark, sf_dir):
     """The pairs written as FASTQ files by the sink and read back by the source: records of each file pair."""
-    import tempfile
-
-    from .sources.fastq import read_fastq, write_fastq
-
-    base = tempfile.mkdtemp(prefix="tagloom-fastq-") if not (shared := spark.conf.get("spark.checkpoint.dir", None)) else f"{shared.removeprefix('file://')}/fastq-{spark.sparkContext.applicationId}-{id(sf_dir)}"
+    base = scratch(spark, "fastq")
     p = pairs(spark, sf_dir).withColumn("label", F.lit("all")).orderBy("ord")
     write_fastq(p, base, "run", True)
     return read_fastq(spark, f"{base}/run_all_R1.fastq.gz", f"{base}/run_all_R2.fastq.gz").drop("ord")
 
 
+def _sample_files(spark, sf_dir) -> tuple[str, Sheet, DataFrame]:
+    """(folder, sheet, plan) of a run that wrote a pair of files for each sample and one for unassigned reads."""
+    base, s = scratch(spark, "samples"), sheet(spark, sf_dir)
+    plan = demux(pairs(spark, sf_dir), s, NO_TRIM.but(min_length=20), True)
+    write_fastq(written(plan, NO_TRIM).orderBy("ord"), base, "run", True)  # after the joins, under which a sort would be dropped
+    return base, s, plan
+
+
+def sample_files(spark, sf_dir):
+    """Records and SHA-256 of the content of every file that the per-sample sink writes, from the files."""
+    base, s, _ = _sample_files(spark, sf_dir)
+    files = [f"{base}/{file_name('run', label, m, True)}" for label in [*(x.label for x in s.samples), "unassigned"] for m in ("R1", "R2")]
+    return qc.file_digests(spark, [f for f in files if exists(f)]).withColumn("path", F.element_at(F.split("path", "/"), -1))
+
+
+def output_verification(spark, sf_dir):
+    """The output checks over a run's files, read back with damage of every kind: ids, order, sequences, lost and foreign records."""
+    base, s, plan = _sample_files(spark, sf_dir)
+    labels = [x for x in [*(x.label for x in s.samples), "unassigned"] if exists(f"{base}/{file_name('run', x, 'R1', True)}")]
+    one, two = (",".join(f"{base}/{file_name('run', x, m, True)}" for x in labels) for m in ("R1", "R2"))
+    out = read_fastq(spark, one, two).withColumnRenamed("ord", "place")
+    out = out.withColumn("label", F.element_at(F.array(*map(F.lit, labels)), (F.col("place") / FILE_STEP).cast("int") + 1))
+    n = F.regexp_extract("r1_name", "([0-9]+)", 1).cast("bigint")
+    out = out.where(n % 107 != 0).withColumns({
+        "place": F.when(n % 109 == 0, F.col("place") + FILE_STEP // 2).otherwise(F.col("place")),
+        "r1_seq": F.when(n % 101 == 0, F.concat(F.lit("N"), "r1_seq")).otherwise(F.col("r1_seq")),
+        "r2_name": F.when(n % 97 == 0, F.lit("other/2")).otherwise(F.col("r2_name")),
+        "r1_name": F.when(n % 103 == 0, F.concat(F.lit("lost"), "r1_name")).otherwise(F.col("r1_name")),
+    })
+    counts = written(plan, NO_TRIM).groupBy("label").agg(F.count("*").alias("count"))
+    return qc.verify_output(pairs(spark, sf_dir), out, s, counts)
+
+
+def run_parity(spark, sf_dir):
+    """Files whose content differs between a run and one that also matches with a mismatch, by content digests of what would be written."""
+    p, s = pairs(spark, sf_dir), sheet(spark, sf_dir)
+
+    def run(options):
+        d = written(demux(p, s, options, True), options)
+        return d.groupBy(F.col("label").alias("path")).agg(F.sum(F.crc32(F.concat("r1_name", F.lit(" "), "r1_seq", F.lit(" "), "r2_seq").cast("binary"))).cast("string").alias("sha256"))
+
+    return qc.same_content(run(NO_TRIM), run(NO_TRIM.but(orientation="canonical"))).select("path")
+
+
+def expected_gate(spark, sf_dir):
+    """The gate on six counts: those of an exact run expected of a run with mismatches."""
+    p, s = pairs(spark, sf_dir), sheet(spark, sf_dir)
+    run = lambda o: summary.metrics(demux(p, s, o, True), True)
+    want = {r.metric: r["count"] for r in run(NO_TRIM).where(F.col("metric").isin(*GATED)).collect()}
+    return qc.expected_counts(run(NO_TRIM.but(mismatches1=1, mismatches2=1)), want)
+
+
+GATED = ("total_reads", "assigned", "unassigned", "orientation_canonical", "orientation_swapped", "adapter_trimmed")
+
+
+def representative_samples(spark, sf_dir):
+    """Of all samples but France, so that their number is even."""
+    return qc.representative_samples(per_sample_counts(spark, sf_dir).where("label <> 'FRANCE'"))
+
+
+def extra_by_sample(spark, sf_dir):
+    return qc.extra_by_sample(pairs(spark, sf_dir), sheet(spark, sf_dir))
+
+
+def summary_rates(spark, sf_dir):
+    return summary.rates(demux(pairs(spark, sf_dir), sheet(spark, sf_dir), FULL, True), True)
+
+
+def sheet_parse(spark, sf_dir):
+    """The samples as a sheet file with other names of its columns, parsed."""
+    rows = samples(spark, sf_dir).orderBy("sample_id").collect()
+    text = "Sample Name,BC-1,note,i5\n" + "".join(f" {r.name} ,{r.bc1.lower()},x,{r.bc2}\n" for r in rows)
+    return spark.createDataFrame([(s.id, s.name, s.label, s.barcode1.raw, s.barcode2.raw) for s in parse_sheet(text).samples], "sample_id int, name string, label string, bc1 string, bc2 string")
+
+
+def strip_se(spark, sf_dir):
+    return demux(single_reads(spark, sf_dir), sheet(spark, sf_dir), NO_TRIM, False).select("ord", "r1_name", "r1_seq", "r1_qual")
+
+
+def umi_se(spark, sf_dir):
+    return demux(single_reads(spark, sf_dir), sheet(spark, sf_dir, umi=True), NO_TRIM, False).select("ord", "umi", "r1_name")
+
+
+def discard_unassigned(spark, sf_dir):
+    o = NO_TRIM.but(discard_unassigned=True, min_length=20)
+    return written(demux(pairs(spark, sf_dir), sheet(spark, sf_dir), o, True), o).select("ord")
+
+
+def count_text(spark, sf_dir):
+    return validate_pe(spark, sf_dir).select(R.count_text(F.col("records")).alias("records"), R.count_text(F.col("bases")).alias("bases"))
+
+
+def at_positions(spark, sf_dir):
+    return pairs(spark, sf_dir).select("ord", R.at_positions(F.col("r1_seq"), [0, 3, 6]).alias("value"))
+
+
+def fastq_head(spark, sf_dir):
+    """The first 200 pairs of a pair of files, as files, read back."""
+    base = scratch(spark, "head")
+    write_fastq(pairs(spark, sf_dir).withColumn("label", F.lit("all")).orderBy("ord"), base, "run", True)
+    head(spark, f"{base}/run_all_R1.fastq.gz", f"{base}/run_all_R2.fastq.gz", f"{base}/head_R1.fastq.gz", f"{base}/head_R2.fastq.gz", 200)
+    return read_fastq(spark, f"{base}/head_R1.fastq.gz", f"{base}/head_R2.fastq.gz").drop("ord")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "per_sample_counts": per_sample_counts,
     "summary_metrics": summary_metrics,
@@ -272,6 +377,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "peer_sheet": peer_sheet,
     "output_digests": output_digests,
     "fastq_roundtrip": fastq_roundtrip,
+    "umi_and_tso": _plan(NO_TRIM.but(tso=Tso("NNNII")), "ord", "umi", "r1_name", "r2_name", "r1_seq", umi=True),
+    **{f.__name__: f for f in (sample_files, output_verification, run_parity, expected_gate, representative_samples, extra_by_sample, summary_rates, sheet_parse, strip_se, umi_se, discard_unassigned, count_text, at_positions, fastq_head)},
 }
 
 
@@ -322,10 +429,10 @@ y AS (SELECT *, CASE WHEN status = 'match' THEN substr(s1, 9) ELSE s1 END AS c1,
 """
 
 
-def _metrics_sql(where: str, cte: str) -> str:
-    """metric and count over rows y of a run without trims. where: the length filter, as what survives."""
+def _metrics_sql(where: str, cte: str, quality: str = "FALSE", adapter: str = "FALSE") -> str:
+    """metric and count over rows y of a run. where: the length filter, as what survives; quality and adapter: what counts as trimmed."""
     plain = {
-        "total_reads": "TRUE", "assigned": f"status = 'match' AND {where}", "unassigned": f"status <> 'match' AND {where}", "ambiguous": "status = 'ambiguous'", "quality_trimmed": "FALSE", "adapter_trimmed": "FALSE",
+        "total_reads": "TRUE", "assigned": f"status = 'match' AND {where}", "unassigned": f"status <> 'match' AND {where}", "ambiguous": "status = 'ambiguous'", "quality_trimmed": quality, "adapter_trimmed": adapter,
         "too_short": f"NOT ({where})", "five_prime_matched_three_prime_missing": "FALSE", "orientation_canonical": "status = 'match' AND NOT swapped", "orientation_swapped": "status = 'match' AND swapped",
         "matched_before_filter": "status = 'match'", "no_match_before_filter": "status = 'none'", "ambiguous_after_filter": f"status = 'ambiguous' AND {where}",
     }
@@ -340,7 +447,7 @@ def _counts_sql(where: str, cte: str, name: str) -> str:
     return f"{name} AS (SELECT label, count(*) AS count FROM ({cte} SELECT * FROM y) WHERE status = 'match' AND {where} GROUP BY label)"
 
 
-def _quality_sql(cutoff3: int, cutoff5: int, nextseq: bool = False) -> str:
+def _quality_sql(cutoff3: int, cutoff5: int, nextseq: bool = False, reads: str = f"SELECT ord, r1_seq AS seq, r1_qual AS qual FROM ({PAIRS})") -> str:
     """Running sums from either end; what follows a negative sum doesn't count; the first highest sum above zero cuts."""
     q = "ascii(substr(qual, i, 1)) - 33"
     gain3 = f"CASE WHEN substr(seq, i, 1) = 'G' THEN 1 ELSE {cutoff3} - ({q}) END" if nextseq else f"{cutoff3} - ({q})"
@@ -349,7 +456,7 @@ def _quality_sql(cutoff3: int, cutoff5: int, nextseq: bool = False) -> str:
     gain5 = f"{cutoff5} - ({q})" if cutoff5 else "-1"
     side = lambda gain, order: f"""SELECT ord, coalesce(min(k) FILTER (s = top AND s > 0), 0) AS cut FROM (SELECT *, max(s) FILTER (low >= 0) OVER (PARTITION BY ord) AS top FROM (
       SELECT *, min(s) OVER (PARTITION BY ord ORDER BY k) AS low FROM (SELECT ord, k, sum(g) OVER (PARTITION BY ord ORDER BY k) AS s FROM (SELECT ord, {order} AS k, {gain} AS g FROM b)))) WHERE low >= 0 GROUP BY ord"""
-    return f"""WITH r AS MATERIALIZED (SELECT ord, r1_seq AS seq, r1_qual AS qual FROM ({PAIRS})), b AS (SELECT ord, seq, qual, unnest(range(1, length(seq) + 1)) AS i FROM r),
+    return f"""WITH r AS MATERIALIZED ({reads}), b AS (SELECT ord, seq, qual, unnest(range(1, length(seq) + 1)) AS i FROM r),
 five AS ({side(gain5, 'i')}), three AS ({side(gain3, 'length(seq) + 1 - i')}),
 z AS (SELECT ord, coalesce(five.cut, 0) AS a, length(seq) - coalesce(three.cut, 0) AS z FROM r LEFT JOIN five USING (ord) LEFT JOIN three USING (ord))
 SELECT ord, CASE WHEN a >= z THEN 0 ELSE a END::INT AS start, CASE WHEN a >= z THEN 0 ELSE z END::INT AS stop FROM z"""
@@ -374,12 +481,32 @@ def _umi_name(name: str, umi: str) -> str:
     return f"CASE WHEN {umi} = '' THEN {name} ELSE concat(translate({name}, ' ', '_'), CASE WHEN contains({name}, 'rbc:') THEN '' ELSE 'rbc:' END, {umi}) END"
 
 
+def _trimmed_sql(cte: str, cutoff3: int, cutoff5: int) -> str:
+    """From mates in order without barcodes to what both trims leave: y with the lengths l1 and l2, and whether each trim took anything."""
+    out = cte.replace("WHEN swapped THEN r2_name ELSE r1_name END AS n1", "WHEN swapped THEN r2_qual ELSE r1_qual END AS q1, CASE WHEN swapped THEN r1_qual ELSE r2_qual END AS q2, CASE WHEN swapped THEN r2_name ELSE r1_name END AS n1")
+    out = out.replace("\ny AS (SELECT *,", "\ny0 AS (SELECT *, CASE WHEN status = 'match' THEN substr(q1, 9) ELSE q1 END AS u1, CASE WHEN status = 'match' THEN substr(q2, 9) ELSE q2 END AS u2,")
+    for m, adapter in (("1", ADAPTER_R1), ("2", ADAPTER_R2)):
+        out += f""", qa{m} AS ({_quality_sql(cutoff3, cutoff5, reads=f"SELECT ord, c{m} AS seq, u{m} AS qual FROM y0")}),
+aa{m} AS ({_adapter_sql(f"SELECT ord, substr(c{m}, start + 1, stop - start) AS seq FROM y0 JOIN qa{m} USING (ord)", adapter)})"""
+    return f"""{out}, y AS (SELECT y0.*, qa1.start > 0 OR qa1.stop < length(c1) OR qa2.start > 0 OR qa2.stop < length(c2) AS cut, aa1.read_start IS NOT NULL OR aa2.read_start IS NOT NULL AS found,
+  coalesce(aa1.read_start, qa1.stop - qa1.start) AS l1, coalesce(aa2.read_start, qa2.stop - qa2.start) AS l2 FROM y0 JOIN qa1 USING (ord) JOIN qa2 USING (ord) JOIN aa1 USING (ord) JOIN aa2 USING (ord))
+"""
+
+
 def _oracles() -> dict[str, str]:
     exact = _match_sql(PAIRS, 0, 0) + _STRIPPED
     mm1 = _match_sql(PAIRS, 1, 1) + _STRIPPED
     canonical = _match_sql(PAIRS, 0, 0, "canonical") + _STRIPPED
     total = "sum(length(r1_seq) + length(r2_seq))::BIGINT"
     audit = f"WITH a AS ({_verdict(PAIRS, 0, 0)}), b AS ({_verdict(PAIRS, 1, 1)})"
+    full, kept = _trimmed_sql(mm1, 20, 10), "l1 >= 12 AND l2 >= 12"
+    gated = ", ".join(f"'{g}'" for g in GATED)
+    file_text = lambda n, s, q: f"concat('@', {n}, chr(10), {s}, chr(10), '+', chr(10), {q}, chr(10))"
+    quals = exact.replace("WHEN swapped THEN r2_name ELSE r1_name END AS n1", "WHEN swapped THEN r2_qual ELSE r1_qual END AS q1, CASE WHEN swapped THEN r1_qual ELSE r2_qual END AS q2, CASE WHEN swapped THEN r2_name ELSE r1_name END AS n1")
+    quals = quals.replace("\ny AS (SELECT *,", "\ny AS (SELECT *, CASE WHEN status = 'match' THEN substr(q1, 9) ELSE q1 END AS u1, CASE WHEN status = 'match' THEN substr(q2, 9) ELSE q2 END AS u2,")
+    named = "coalesce(replace(label, ' ', '_'), 'unassigned')"
+    matched_se = _match_sql(SINGLE, 1, 1, end=True).replace("d1 <= 1 AND d2 <= 1", "d1 <= 0 AND d2 <= 0")
+    umi_se = f"WITH reads AS MATERIALIZED ({SINGLE}), samples AS ({SAMPLES}), v AS (SELECT ord, count(*) AS n FROM reads, samples WHERE {_mismatches('r1_seq', 'bc1', umi=4)} = 0 AND {_mismatches('r1_seq', 'bc2', True, umi=7)} = 0 GROUP BY ord)"
     rc = lambda x: f"reverse(translate(regexp_replace(upper({x}), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA'))"
     return {
         "per_sample_counts": f"{exact} SELECT label, count(*) AS count FROM y WHERE status = 'match' AND {_LONG} GROUP BY label",
@@ -423,6 +550,25 @@ SELECT ord FROM ({CHIMERIC}) p JOIN c a ON a.code = substr(r1_seq, 1, 8) JOIN c
         "peer_sheet": f"WITH s AS ({SAMPLES}) SELECT concat(bc1, ',', {rc('bc2')}, ':', name) AS line FROM s UNION ALL SELECT concat(bc2, ',', {rc('bc1')}, ':', name, '_swapped') FROM s",
         "output_digests": f"{exact} SELECT coalesce(replace(label, ' ', '_'), 'unassigned') AS label, mate, count(*) AS records, sum(CASE mate WHEN 'R1' THEN length(n1) + 2 * length(c1) ELSE length(n2) + 2 * length(c2) END + 6)::BIGINT AS bytes FROM y, (SELECT unnest(['R1', 'R2']) AS mate) GROUP BY 1, 2",
         "fastq_roundtrip": f"SELECT r1_name, r1_seq, r1_qual, r2_name, r2_seq, r2_qual FROM ({PAIRS})",
+        "demux_full": _metrics_sql(kept, full, "cut", "found"),
+        "summary_rates": f"{full} SELECT 'match_rate' AS metric, printf('%.6f', count(*) FILTER (status = 'match' AND {kept}) / count(*)) AS rate FROM y UNION ALL SELECT 'assignment_rate_before_filter', printf('%.6f', count(*) FILTER (status = 'match') / count(*)) FROM y",
+        "sample_files": f"{quals} SELECT concat('run_', {named}, '_', mate, '.fastq.gz') AS path, count(*) AS records, sha256(string_agg(CASE mate WHEN 'R1' THEN {file_text('n1', 'c1', 'u1')} ELSE {file_text('n2', 'c2', 'u2')} END, '' ORDER BY ord)) AS sha256 FROM y, (SELECT unnest(['R1', 'R2']) AS mate) WHERE {_LONG} GROUP BY 1, mate",
+        "output_verification": f"""{exact}, o AS (SELECT {named} AS label, ord AS n, status, CASE WHEN ord % 103 <> 0 THEN ord END AS ord, CASE WHEN ord % 109 = 0 THEN ord + 1000000000000 ELSE ord END AS place FROM y WHERE {_LONG}),
+l AS (SELECT *, max(ord) OVER (PARTITION BY label ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM o WHERE n % 107 <> 0)
+SELECT 'mate_ids' AS problem, count(*) FILTER (n % 97 = 0 OR n % 103 = 0) AS count FROM l UNION ALL SELECT 'not_in_input', count(*) FILTER (n % 103 = 0) FROM l UNION ALL SELECT 'out_of_order', count(*) FILTER (ord < last) FROM l
+UNION ALL SELECT 'no_prefix', count(*) FILTER (status = 'match' AND n % 101 = 0 AND n % 103 <> 0) FROM l UNION ALL SELECT 'counts', count(DISTINCT label) FROM o WHERE n % 107 = 0""",
+        "run_parity": f"WITH a AS ({exact} SELECT label, ord FROM y), b AS ({canonical} SELECT label, ord FROM y), d AS (SELECT DISTINCT coalesce(x.label, 'unassigned') AS path FROM (SELECT ord, unnest([a.label, b.label]) AS label FROM a JOIN b USING (ord) WHERE a.label IS DISTINCT FROM b.label) x) SELECT path FROM d",
+        "expected_gate": f"WITH a AS ({_metrics_sql('TRUE', exact)}), b AS ({_metrics_sql('TRUE', mm1)}) SELECT metric, a.count AS expected, b.count AS found FROM a JOIN b USING (metric) WHERE a.count <> b.count AND metric IN ({gated})",
+        "representative_samples": f"WITH c AS (SELECT label, count, row_number() OVER (ORDER BY count, label) - 1 AS k, count(*) OVER () AS n FROM ({exact} SELECT label, count(*) AS count FROM y WHERE status = 'match' AND label <> 'FRANCE' AND {_LONG} GROUP BY label)) SELECT CASE WHEN k = 0 THEN 'min' WHEN k = n // 2 THEN 'median' ELSE 'max' END AS which, label, count FROM c WHERE k IN (0, n // 2, n - 1)",
+        "extra_by_sample": f"{audit} SELECT b.sample_id, count(*) AS count FROM a JOIN b USING (ord) WHERE a.status <> 'match' AND b.status = 'match' GROUP BY 1",
+        "sheet_parse": f"SELECT sample_id, name, replace(name, ' ', '_') AS label, bc1, bc2 FROM ({SAMPLES})",
+        "strip_se": f"{matched_se} SELECT ord, r1_name, CASE WHEN status = 'match' THEN substr(r1_seq, 9, length(r1_seq) - 16) ELSE r1_seq END AS r1_seq, CASE WHEN status = 'match' THEN substr(r1_qual, 9, length(r1_seq) - 16) ELSE r1_qual END AS r1_qual FROM reads JOIN matched USING (ord)",
+        "umi_se": f"{umi_se}, u AS (SELECT ord, r1_name, CASE WHEN n = 1 THEN concat(substr(r1_seq, 4, 1), substr(r1_seq, length(r1_seq) - 1, 1)) ELSE '' END AS umi FROM reads LEFT JOIN v USING (ord)) SELECT ord, umi, {_umi_name('r1_name', 'umi')} AS r1_name FROM u",
+        "umi_and_tso": _match_sql(PAIRS, 0, 0, umi=True) + _STRIPPED + f", u AS (SELECT *, CASE WHEN status = 'match' THEN concat(substr(s1, 4, 1), substr(s2, 7, 1)) ELSE '' END AS umi, CASE WHEN length(c1) >= 5 THEN {_umi_name('n1', 'substr(c1, 1, 3)')} ELSE n1 END AS t1 FROM y) SELECT ord, umi, {_umi_name('t1', 'umi')} AS r1_name, {_umi_name('n2', 'umi')} AS r2_name, CASE WHEN length(c1) >= 5 THEN substr(c1, 6) ELSE c1 END AS r1_seq FROM u",
+        "discard_unassigned": f"{exact} SELECT ord FROM y WHERE status = 'match' AND {_LONG}",
+        "count_text": f"SELECT format('{{:,}}', count(*)) AS records, format('{{:,}}', {total}) AS bases FROM ({PAIRS})",
+        "at_positions": f"SELECT ord, concat(substr(r1_seq, 1, 1), substr(r1_seq, 4, 1), substr(r1_seq, 7, 1)) AS value FROM ({PAIRS})",
+        "fastq_head": f"SELECT r1_name, r1_seq, r1_qual, r2_name, r2_seq, r2_qual FROM ({PAIRS}) ORDER BY ord LIMIT 200",
     }
 
 

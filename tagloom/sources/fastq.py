@@ -5,9 +5,9 @@ one run, in order). Compressed files can't be split, so each file, or pair of fi
 come in many. ``ord`` counts reads from 0 within a file pair and adds ``FILE_STEP`` for each file before it. Mates are zipped in the
 reader, which checks that both files end together and that names agree. skip and limit are applied while reading a single file pair.
 
-Writing: every task writes one segment for each file it has reads of; commit joins the segments in task
-order (gzip members may follow each other) under final names. So order is kept without a shuffle,
-and a failed or repeated task leaves nothing behind.
+Writing: every task writes one segment for each file it has reads of; the segments of a file are joined in task
+order (gzip members may follow each other) under its final name: by write_fastq() in one task a file, otherwise in the commit. So order is
+kept without a shuffle, and a failed or repeated task leaves nothing behind.
 """
 
 from __future__ import annotations
@@ -38,6 +38,24 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
+def exists(path: str) -> bool:
+    from pyarrow import fs as pafs
+
+    fs, at = filesystem(path)
+    return fs.get_file_info(at).type == pafs.FileType.File
+
+
+def content(path: str, size: int = 1 << 20) -> Iterator[bytes]:
+    """The decompressed bytes of a plain or gzip file, piece by piece."""
+    fs, at = filesystem(path)
+    with fs.open_input_stream(at, compression=None) as raw:
+        head = raw.read(2)
+    with fs.open_input_stream(at, compression=None) as raw:
+        stream = gzip.GzipFile(fileobj=raw) if head == b"\x1f\x8b" else raw
+        while data := stream.read(size):
+            yield data
+
+
 def records(path: str) -> Iterator[tuple[str, str, str]]:
     """(name, sequence, quality) of a plain or gzip FASTQ file; sequences are upper-cased, other bytes stay (as Latin-1)."""
     fs, at = filesystem(path)
@@ -127,6 +145,27 @@ class FastqReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(ords, pa.int64()), *(pa.array(c, pa.string()) for c in columns)], ["ord", *names])
 
 
+#: The list of a write's segments, by file and in order; it stands once the write has succeeded.
+LIST = "segments.tsv"
+
+
+def join(fs, root: str, staging: str, name: str, segments: list[str]) -> None:
+    """Put segments behind each other and give the result its name; a lone one is only renamed. May be repeated: a file that has its name is done."""
+    from pyarrow import fs as pafs
+
+    if len(segments) == 1:
+        if fs.get_file_info(f"{root}/{segments[0]}").type == pafs.FileType.File:
+            fs.move(f"{root}/{segments[0]}", f"{root}/{name}")
+        return
+    temp = f"{root}/{staging}/{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(temp, compression=None) as out:
+        for s in segments:
+            with fs.open_input_stream(f"{root}/{s}", compression=None) as part:
+                while data := part.read(1 << 22):
+                    out.write(data)
+    fs.move(temp, f"{root}/{name}")
+
+
 @dataclass
 class _Segments(WriterCommitMessage):
     partition: int
@@ -139,7 +178,8 @@ class FastqWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.base, self.level = options["path"], int(options.get("level", 6))
         self.plain = options.get("gzip", "true").lower() == "false"
-        self.staging = f"_staging-{uuid.uuid4().hex}"
+        self.staging = options.get("staging") or f"_staging-{uuid.uuid4().hex}"
+        self.join = options.get("join", "true").lower() == "true"
 
     def write(self, iterator):
         from pyspark import TaskContext
@@ -172,15 +212,15 @@ class FastqWriter(DataSourceArrowWriter):
         for m in sorted((m for m in messages if m), key=lambda m: m.partition):
             for name, segment in m.files.items():
                 parts.setdefault(name, []).append(segment)
-        for name, segments in parts.items():
-            with fs.open_output_stream(f"{root}/{self.staging}/{name}", compression=None) as out:
-                for s in segments:
-                    with fs.open_input_stream(f"{root}/{s}", compression=None) as part:
-                        while data := part.read(1 << 22):
-                            out.write(data)
-            fs.move(f"{root}/{self.staging}/{name}", f"{root}/{name}")
-        if parts:
+        if not parts:
+            return
+        if self.join:
+            for name, segments in parts.items():
+                join(fs, root, self.staging, name, segments)
             fs.delete_dir(f"{root}/{self.staging}")
+        else:
+            with fs.open_output_stream(f"{root}/{self.staging}/{LIST}", compression=None) as out:
+                out.write("".join(f"{name}\t{segment}\n" for name, segments in parts.items() for segment in segments).encode())
 
     def abort(self, messages):
         from pyarrow import fs as pafs
@@ -249,4 +289,44 @@ def write_fastq(df: DataFrame, out_dir: str, prefix: str, paired: bool, gz: bool
     ext = "fastq.gz" if gz else "fastq"
     mates = (("r1", "_R1"), ("r2", "_R2")) if paired else (("r1", ""),)
     rows = F.explode(F.array(*[F.struct(F.concat(F.lit(f"{prefix}_"), "label", F.lit(f"{suffix}.{ext}")).alias("file"), text(m).alias("text")) for m, suffix in mates]))
-    df.select(rows.alias("x")).select("x.file", "x.text").write.format("fastq").mode("append").options(path=out_dir, level=level, gzip=str(gz).lower()).save()
+    staging = f"_staging-{uuid.uuid4().hex}"
+    df.select(rows.alias("x")).select("x.file", "x.text").write.format("fastq").mode("append").options(path=out_dir, level=level, gzip=str(gz).lower(), staging=staging, join="false").save()
+    _join_all(df.sparkSession, out_dir, staging)
+
+
+def _join_all(spark: SparkSession, out_dir: str, staging: str) -> None:
+    """Join the segments of a write, one task a file; the driver reads their list only."""
+    from pyarrow import fs as pafs
+
+    fs, root = filesystem(out_dir)
+    if fs.get_file_info(f"{root}/{staging}/{LIST}").type != pafs.FileType.File:
+        return  # no task had rows
+    parts: dict[str, list[str]] = {}
+    with fs.open_input_stream(f"{root}/{staging}/{LIST}", compression=None) as stream:
+        for line in stream.read().decode().splitlines():
+            name, segment = line.split("\t")
+            parts.setdefault(name, []).append(segment)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(out_dir)
+        for batch in batches:
+            for name, segments in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                join(fs, root, staging, name, segments)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["file"])
+
+    files = spark.createDataFrame(list(parts.items()), "file string, segments array<string>").repartition(len(parts))
+    files.mapInArrow(run, "file string").count()
+    fs.delete_dir(f"{root}/{staging}")
+
+
+def head(spark: SparkSession, path: str, path2: str, out: str, out2: str, n: int, level: int = 1) -> None:
+    """The first n pairs of two files, as two gzip files; input that ends before is an error, and nothing is written."""
+    from ..functions.reads import fastq_text
+
+    df = read_fastq(spark, path, path2, limit=n)
+    if (have := df.count()) < n:
+        raise FastqError(f"the input ends after {have} pairs")
+    for m, target in (("r1", out), ("r2", out2)):
+        folder, _, name = target.rpartition("/")
+        text = df.select(F.lit(name).alias("file"), fastq_text(F.col(f"{m}_name"), F.col(f"{m}_seq"), F.col(f"{m}_qual")).alias("text"))
+        text.write.format("fastq").mode("append").options(path=folder or ".", level=level).save()

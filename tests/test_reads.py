@@ -5,12 +5,13 @@ import numpy as np
 import pytest
 
 from tagloom import cli, queries
-from tagloom.errors import ConfigError, DemuxError, OutputError, SampleSheetError
+from tagloom.errors import ConfigError, DemuxError, FastqError, OutputError, SampleSheetError
 from tagloom.operators import match as matching
-from tagloom.operators import summary, trim
+from tagloom.operators import qc, summary, trim
 from tagloom.plans.config import Barcode, Options, Sample, Sheet, Tso
 from tagloom.plans.demux import demux, written
 from tagloom.sources import fastq
+from tagloom.sources.fastq import head, read_fastq, write_fastq
 from tagloom.sources.samples import parse_sheet
 
 
@@ -270,3 +271,60 @@ def test_import_without_the_corpus_operators(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'match_mm1_pe' in q and not any(k.startswith('op1_') for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_sink_joins_segments_of_many_tasks_in_order(spark, tmp_path):
+    rows = [(i, "a" if i % 3 else "b", f"read{i}", "ACGT" * (i % 5 + 1), "IIII" * (i % 5 + 1)) for i in range(500)]
+    df = spark.createDataFrame(rows, "ord bigint, label string, r1_name string, r1_seq string, r1_qual string").repartition(9).orderBy("ord")
+    write_fastq(df, str(tmp_path), "run", False)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["run_a.fastq.gz", "run_b.fastq.gz"]
+    for label in "ab":
+        names = [r.r1_name for r in read_fastq(spark, str(tmp_path / f"run_{label}.fastq.gz")).orderBy("ord").collect()]
+        assert names == [n for _, x, n, *_ in rows if x == label]
+    write_fastq(df.limit(0), str(tmp_path / "none"), "run", False)
+    assert not (tmp_path / "none").exists() or not [p for p in (tmp_path / "none").iterdir() if p.suffix == ".gz"]
+
+
+def test_file_digests_count_records_and_refuse_broken_files(spark, tmp_path):
+    import gzip
+    import hashlib
+
+    text = "".join(f"@r{i}\nACGT\n+\nIIII\n" for i in range(7)).encode()
+    (tmp_path / "a.fastq").write_bytes(text)
+    (tmp_path / "b.fastq.gz").write_bytes(gzip.compress(text[:40]) + gzip.compress(text[40:]))
+    (tmp_path / "c.fastq").write_bytes(text + b"@r8\nAC")
+    (tmp_path / "d.fastq").write_bytes(b"")
+    got = {r.path[-10:].split("/")[-1]: (r.records, r.sha256) for r in qc.file_digests(spark, [str(tmp_path / n) for n in ("a.fastq", "b.fastq.gz", "d.fastq")]).collect()}
+    want = hashlib.sha256(text).hexdigest()
+    assert got == {"a.fastq": (7, want), "b.fastq.gz": (7, want), "d.fastq": (0, hashlib.sha256(b"").hexdigest())}
+    with pytest.raises(Exception, match="no multiple of 4"):
+        qc.file_digests(spark, [str(tmp_path / "c.fastq")]).collect()
+    one, two = (spark.createDataFrame(x, "path string, sha256 string") for x in ([("a", "1"), ("b", "2")], [("a", "1"), ("b", "3"), ("c", "4")]))
+    assert sorted(map(tuple, qc.same_content(one, two).collect())) == [("b", "2", "3"), ("c", None, "4")]
+
+
+def test_head_of_a_short_input_is_an_error(spark, tmp_path):
+    for m in "12":
+        (tmp_path / f"r{m}.fastq").write_text("".join(f"@r{i}/{m}\nACGT\n+\nIIII\n" for i in range(5)))
+    paths = [str(tmp_path / x) for x in ("r1.fastq", "r2.fastq", "o1.fastq.gz", "o2.fastq.gz")]
+    with pytest.raises(FastqError, match="after 5 pairs"):
+        head(spark, *paths, 6)
+    assert not (tmp_path / "o1.fastq.gz").exists()
+    head(spark, *paths, 3)
+    assert [r.r1_name for r in read_fastq(spark, *paths[2:]).orderBy("ord").collect()] == ["r0/1", "r1/1", "r2/1"]
+
+
+def test_representative_samples(spark):
+    picks = lambda rows: {r.which: r.label for r in qc.representative_samples(spark.createDataFrame(rows, "label string, count bigint")).collect()}
+    assert picks([("a", 5), ("b", 1), ("c", 9), ("d", 7), ("z", 0)]) == {"min": "b", "median": "d", "max": "c"}
+    assert picks([("a", 5), ("b", 1), ("c", 9)]) == {"min": "b", "median": "a", "max": "c"}
+    assert picks([("a", 5), ("z", 0)]) == {"min": "a"} and picks([("z", 0)]) == {} and picks([("b", 2), ("a", 2)]) == {"min": "a", "median": "b"}
+
+
+def test_human_summary():
+    rows = {m: 0 for m in (*summary.HEAD, *summary.TAIL)} | {"total_reads": 1_234_567, "assigned": 1_000_000, "unassigned": 234_567, "orientation_canonical": 10}
+    text = "metric\tcount\n" + "".join(f"{m}\t{c}\n" for m, c in rows.items()) + "match_rate\t0.81\nsample:s1\t999999\nsample:s2\t1\n"
+    lines = [line.split() for line in summary.human(text).splitlines()]
+    assert ["reads", "1,234,567"] in lines and ["assigned", "1,000,000", "81.00", "%"] in lines and ["s1", "999,999"] in lines and ["mates", "in", "order", "10", "0.00", "%"] in lines
+    none = "metric\tcount\n" + "".join(f"{m}\t0\n" for m in rows)
+    assert "sample" not in summary.human(none) and "mates" not in summary.human(none)
