@@ -3,8 +3,8 @@
 Adapters: for every placement k of the adapter against the read's last bases, the overlap is L = min(n - k, m).
 A placement holds if its mismatches stay within the errors allowed for L; failing that, if some adapter prefix
 of j >= min_overlap bases is within the errors allowed for j of read[k : k + L] in edit distance. More overlap
-wins, then fewer errors, then the smaller k. Edit distances are only worked out where one of e + 1
-pieces of the adapter stands exactly within e places of its own, as it must with e edits.
+wins, then fewer errors, then the smaller k. Placements are only looked at where one of e + 1
+pieces of the adapter stands exactly within e places of its own, as it must with e errors.
 """
 
 from __future__ import annotations
@@ -59,17 +59,68 @@ def _reversed(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.take_along_axis(x, np.maximum(n[:, None] - 1 - np.arange(x.shape[1]), 0), axis=1)
 
 
-def edit_last_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Edit distances of each row of a (whole) to every prefix of the same row of b: [row, prefix length]."""
-    row = np.broadcast_to(np.arange(b.shape[1] + 1), (len(a), b.shape[1] + 1)).copy()
-    for i in range(a.shape[1]):
-        new = np.empty_like(row)
-        new[:, 0] = i + 1
-        step = np.minimum(row[:, 1:] + 1, row[:, :-1] + (a[:, i, None] != b))
-        for j in range(b.shape[1]):
-            new[:, j + 1] = np.minimum(step[:, j], new[:, j] + 1)
+def banded_distances(window: np.ndarray, length: np.ndarray, adapter: np.ndarray, e: int) -> np.ndarray:
+    """Edit distances of the first ``length`` bases of each row to the adapter prefixes of length - e to length bases; exact where they are at most e."""
+    rows, far = len(window), e + 1 + len(adapter)
+    row = np.full((rows, 2 * e + 1), far, np.int32)  # column d: the prefix of i + d - e bases
+    row[:, e:] = np.arange(e + 1)
+    out = np.full((rows, e + 1), far, np.int32)
+    for i in range(1, int(length.max(initial=0)) + 1):
+        new = np.full_like(row, far)
+        for d in range(2 * e + 1):
+            j = i + d - e
+            if 1 <= j <= len(adapter):
+                new[:, d] = row[:, d] + (window[:, i - 1] != adapter[j - 1])
+            elif j == 0:
+                new[:, d] = i
+            if d < 2 * e:
+                np.minimum(new[:, d], row[:, d + 1] + 1, out=new[:, d])
+            if d:
+                np.minimum(new[:, d], new[:, d - 1] + 1, out=new[:, d])
+            if not 0 <= j <= len(adapter):
+                new[:, d] = far
         row = new
-    return row
+        done = length == i
+        out[done] = row[done, : e + 1]
+    return out
+
+
+_CODE = np.full(256, 4, np.int32)
+_CODE[[65, 67, 71, 84]] = range(4)
+#: Bases of a seed at most: three bits each.
+SEED = 6
+
+
+def placements(seq: np.ndarray, zone: list[tuple[int, np.ndarray]], adapter: np.ndarray, allowed: np.ndarray, min_overlap: int) -> np.ndarray:
+    """Which placements of the adapter can hold. zone: for each number e of errors, the placements whose overlap allows so many.
+
+    The first bases that every match of a zone takes in are cut into e + 1 pieces; with e errors at most, one
+    piece stands unchanged, within e places of its own. Other characters than A, C, G, T count as one here.
+    """
+    e_max, m, width = max(e for e, _ in zone), len(adapter), seq.shape[1]
+    codes = np.full((len(seq), e_max + width + m + e_max + SEED), 7, np.int32)
+    codes[:, e_max : e_max + width] = _CODE[seq]
+    grams, own = {1: codes}, _CODE[adapter]
+    for k in range(2, SEED + 1):
+        grams[k] = (grams[k - 1][:, :-1] << 3) | codes[:, k - 1 :]
+    out = np.zeros(seq.shape, bool)
+    for e, here in zone:
+        low = max(min_overlap, int(np.flatnonzero(allowed == e)[0]) - e)
+        size = min(SEED, low // (e + 1))
+        if not size:
+            out |= here
+            continue
+        near = np.zeros(seq.shape, bool)
+        for i in range(e + 1):
+            x = low * i // (e + 1)
+            value = 0
+            for c in own[x : x + size].tolist():
+                value = value << 3 | c
+            hit = grams[size] == value
+            for shift in range(e_max + x - e, e_max + x + e + 1):
+                near |= hit[:, shift : shift + width]
+        out |= near & here
+    return out
 
 
 def adapter_starts(seq: np.ndarray, n: np.ndarray, adapter: str, min_overlap: int, rate: float) -> np.ndarray:
@@ -81,40 +132,29 @@ def adapter_starts(seq: np.ndarray, n: np.ndarray, adapter: str, min_overlap: in
     overlap = np.minimum(n[:, None] - at, m)
     first = np.maximum(0, np.maximum(0, n - (m + 8)) - m)
     open_ = (at >= first[:, None]) & (at < n[:, None]) & (overlap >= min_overlap)
-    wrong = np.zeros((rows, width), np.int16)
-    padded = np.concatenate([seq, np.zeros((rows, m), np.uint8)], axis=1)
-    for j in range(m):
-        wrong += (padded[:, j : j + width] != a[j]) & (overlap > j)
+    none = np.full(rows, -1, np.int64)
+    if not open_.any():
+        return none
     limit = allowed[np.clip(overlap, 0, m)]
-    plain = open_ & (wrong <= limit)
+    zone = [(int(e), open_ & (limit == e)) for e in np.unique(allowed[min_overlap:])]
+    r, k = np.nonzero(placements(seq, zone, a, allowed, min_overlap))
+    padded = np.concatenate([seq, np.zeros((rows, m), np.uint8)], axis=1)
+    window, length, most = padded[r[:, None], k[:, None] + np.arange(m)], overlap[r, k].astype(np.int64), limit[r, k]
+    wrong = ((window != a) & (np.arange(m) < length[:, None])).sum(axis=1)
     # A key orders candidates: more overlap, fewer errors, smaller start.
     big = width + 1
     key = lambda j, errors, k: (j * (m + 1) + (m - errors)) * big + (width - k)
-    best = np.where(plain, key(overlap.astype(np.int64), wrong.astype(np.int64), at), -1).max(axis=1, initial=-1)
-    start = np.where(best >= 0, width - best % big, -1)
-
-    rest = open_ & ~plain & (limit > 0) & (key(overlap.astype(np.int64), 0, at) > best[:, None])
-    for length in np.unique(overlap[rest]):
-        e, low = int(allowed[length]), max(min_overlap, int(length - allowed[length]))
-        r, k = np.nonzero(rest & (overlap == length))
-        cuts = [low * i // (e + 1) for i in range(e + 2)]
-        near = np.zeros(len(r), bool)
-        for x, y in zip(cuts[:-1], cuts[1:]):
-            for shift in range(-e, e + 1):
-                b = k + x + shift
-                ok = (b >= 0) & ~near
-                for j in range(y - x):
-                    ok[ok] = padded[r[ok], np.minimum(b[ok] + j, padded.shape[1] - 1)] == a[x + j]
-                near |= ok
-        r, k = r[near], k[near]
-        if not len(r):
-            continue
-        window = padded[r[:, None], k[:, None] + np.arange(length)]
-        dist = edit_last_rows(window, np.broadcast_to(a[:length], (len(r), length)))[:, min_overlap:]
-        j = dist.argmin(axis=1)
-        errors, j = dist[np.arange(len(r)), j], j + min_overlap
-        ok = errors <= allowed[j]
-        np.maximum.at(best, r[ok], key(j[ok], errors[ok], k[ok]))
+    best, plain = none.copy(), wrong <= most
+    np.maximum.at(best, r[plain], key(length[plain], wrong[plain], k[plain]))
+    rest = ~plain & (most > 0) & (key(length, 0, k) > best[r])
+    for e in np.unique(most[rest]):
+        one = np.flatnonzero(rest & (most == e))
+        j = length[one, None] + np.arange(-int(e), 1)
+        dist = np.where(j >= min_overlap, banded_distances(window[one], length[one], a, int(e)), m + width)
+        low = dist.argmin(axis=1)
+        errors, j = dist[np.arange(len(one)), low], j[np.arange(len(one)), low]
+        ok = (errors <= allowed[np.clip(j, 0, m)]) & (j >= min_overlap)
+        np.maximum.at(best, r[one[ok]], key(j[ok], errors[ok], k[one[ok]]))
     return np.where(best >= 0, width - best % big, -1)
 
 
