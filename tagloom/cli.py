@@ -85,11 +85,15 @@ def run_demux(args: argparse.Namespace, spark=None) -> str:
     spark = spark or session(args.threads)
     reads = read_fastq(spark, args.input, args.input2, options.skip_reads, options.max_reads)
     plan = demux(reads, sheet, options.but(skip_reads=0, max_reads=0), paired)
-    if not options.counts_only:
-        plan.persist()
+    labels = [x.label for x in sheet.samples]
+    if options.counts_only or len(labels) > summary.OBSERVED:
+        if not options.counts_only:
+            write_fastq(written(plan, options), args.out_dir, prefix, paired, gz, args.compression_level)
+        text = summary.summary_tsv(plan, paired)
+    else:
+        plan, seen = summary.observed(plan, paired, labels)
         write_fastq(written(plan, options), args.out_dir, prefix, paired, gz, args.compression_level)
-    text = summary.summary_tsv(plan, paired)
-    plan.unpersist()
+        text = summary.summary_text(seen.get)
     with open(planned[-1], "w", encoding="utf-8") as f:
         f.write(text)
     if not args.quiet:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: Rows of the summary in order, but for the samples, which follow match_rate.
@@ -53,12 +53,28 @@ def metrics(df: DataFrame, paired: bool) -> DataFrame:
     return found.unionByName(zero).groupBy("metric").agg(F.sum("count").alias("count"))
 
 
+#: Samples whose counters are observed one by one; with more, the reads are aggregated apart.
+OBSERVED = 400
+
+
+def observed(df: DataFrame, paired: bool, labels: list[str]) -> tuple[DataFrame, Observation]:
+    """(df, what it will have counted once an action has read all of it): the counters, in the pass that writes the reads."""
+    seen = Observation()
+    flags = _flags(paired)
+    own = {f"sample:{x}": flags["assigned"] & (F.col("label") == x) for x in labels}
+    return df.observe(seen, *[F.count_if(c).alias(n) for n, c in (flags | own).items()]), seen
+
+
 def summary_tsv(df: DataFrame, paired: bool) -> str:
     """The summary file. What is collected has a row for each counter and sample."""
-    rows = {r.metric: r["count"] for r in metrics(df, paired).collect()}
+    return summary_text({r.metric: r["count"] for r in metrics(df, paired).collect()})
+
+
+def summary_text(rows: dict[str, int]) -> str:
+    """The summary file of these counters; samples without reads are left out."""
     rate = lambda a: f"{rows[a] / rows['total_reads'] if rows['total_reads'] else 0:.6f}"
     out = [("metric", "count"), *((m, rows[m]) for m in HEAD), ("match_rate", rate("assigned"))]
-    out += sorted(((m, c) for m, c in rows.items() if m.startswith("sample:")), key=lambda x: x[0].encode())
+    out += sorted(((m, c) for m, c in rows.items() if m.startswith("sample:") and c), key=lambda x: x[0].encode())
     out += [*((m, rows[m]) for m in TAIL), ("assignment_rate_before_filter", rate("matched_before_filter"))]
     return "".join(f"{m}\t{c}\n" for m, c in out)
 
