@@ -110,7 +110,8 @@ def annotate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: s
     of windows of n words, not of shorter items).
 
     A null text has no words. A null item id goes by the empty string; items repeated under one id count once.
-    Repeated documents and nulls are kept. An empty benchmark hits nothing.
+    Repeated documents and nulls are kept. An empty benchmark hits nothing, an empty table gives an empty one. A very long text is one
+    stretch of words after another, in one task.
     """
     spark = docs.sparkSession
     items = pick(benchmark, item=item_col, text=item_text_col).select(F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string"))

@@ -417,7 +417,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are lower-cased in A-Z and split at ASCII white space. A text without words, or null, is linked with nothing. A row
     without id can't be named by a link: its component is null, and it is kept. Repeated rows share a component
-    and their ``kept``; other columns are dropped. An empty table gives an empty one.
+    and their ``kept``; other columns are dropped, whatever their names. An empty table gives an empty one. A very long text is read whole;
+    a task holds the sets of two blocks, or of one pair. With ``miss`` 0 no pair of a bucket is pruned by signatures.
     """
     spark, percent = docs.sparkSession, round(100 * threshold)
     texts = pick(docs, id=id_col, text=text_col).select("id", F.col("text").cast("string"))

@@ -73,7 +73,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
     ``decoded``, what the library's decode(ids) returns.
 
     A null text is an empty one, with no ids but the ends. Repeated rows and null ids are kept;
-    other columns are dropped. An empty table gives an empty table.
+    other columns are dropped, whatever their names. An empty table gives an empty table. A very long text is read whole, by one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
