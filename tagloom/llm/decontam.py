@@ -5,8 +5,9 @@ of two words how far the search may jump before a pattern could end: blocks in n
 whole window. Where the jump is nil, the block's bucket and the window's hash select the patterns to
 test, and comparing the words themselves confirms. Many stretches of text move through the tables in step, as numpy arrays.
 
-The benchmark is read in blocks of at most about ``BLOCK_CHARS`` characters (or one item), each
-compiled on the driver and sent to the workers; a larger benchmark means more passes, not larger tables.
+The benchmark is written once in blocks of about ``BLOCK_CHARS`` characters, longer items in overlapping pieces; each block is compiled on
+the driver and sent to the workers, which hold one at a time. A larger benchmark means more passes over a slice of texts, not larger tables
+or more stages.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices
+from .common import SLICE_BYTES, pick, remove, scratch, slices
 from .words import ALNUM, Words, mix64, sequence_hash
 
 WINDOW = 8
@@ -115,15 +116,45 @@ def annotate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: s
     """
     spark = docs.sparkSession
     items = pick(benchmark, item=item_col, text=item_text_col).select(F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
     own = [c for c in docs.columns if c not in _MARKS]
     state = docs.select(*[F.col(f"`{c}`") for c in own], *[(F.lit(0) if t == "bigint" else F.array()).cast(t).alias(c) for c, t in _MARKS.items()])
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
-        sent = spark.sparkContext.broadcast(compile_patterns([(r.item, r.text) for r in block], n))
-        state = state.mapInArrow(_scan(sent, own.index(text_col), len(own), n), state.schema)
-    return state
+    parts = items.mapInArrow(_pieces(n, block_chars), "item string, text string")
+    blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
+    if blocks == 1:
+        read, path = [parts], None
+    else:
+        path = scratch(spark, "benchmark")
+        parts.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)).cast("int")).write.partitionBy("block").parquet(path)
+        written = spark.read.schema("item string, text string, block int").parquet(path)
+        read = [written.where(F.col("block") == b).select("item", "text") for b in range(blocks)]
+    sent = [spark.sparkContext.broadcast(compile_patterns([(r.item, r.text) for r in part.collect()], n)) for part in read]
+    if path:
+        remove(spark, path)
+    return state.mapInArrow(_scan(sent, own.index(text_col), len(own), n), state.schema)
+
+
+def _pieces(n: int, block_chars: int):
+    """Items longer than a block as pieces of whole words, each with the n - 1 words before it, so that no window is lost or added."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = Words(pa.array([text], pa.string()), ALNUM) if text and len(text) > block_chars else None
+                if words is None or len(words.start) < n:
+                    ids.append(item)
+                    texts.append(text)
+                    continue
+                data = text.encode()
+                cuts = [0, *(int(i) for i in np.flatnonzero(np.diff(words.start // block_chars)) + 1), len(words.start)]
+                for x, y in zip(cuts[:-1], cuts[1:]):
+                    first = max(0, x - n + 1)
+                    if y - first >= n:  # fewer words hold no window; those with them stand in the next piece
+                        ids.append(item)
+                        texts.append(data[words.start[first] : words.end[y - 1]].decode())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["item", "text"])
+
+    return run
 
 
 def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -135,9 +166,8 @@ def _scan(sent, text_at: int, own: int, n: int):
     span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = sent.value
         for whole in batches:
-            for batch in slices([whole], whole.schema.names[text_at]):
+            for batch in slices([whole], whole.schema.names[text_at], SLICE_BYTES if len(sent) == 1 else 8 * SLICE_BYTES):
                 words = Words(batch.column(text_at), ALNUM)
                 change = np.zeros(len(words.start) + 1, np.int32)
                 items = [set(x) for x in batch.column(own + 2).to_pylist()]
@@ -148,14 +178,17 @@ def _scan(sent, text_at: int, own: int, n: int):
                         touched.add(row)
                         change[first[row] + s["begin"]] += 1
                         change[first[row] + s["end"]] -= 1
-                for p in patterns:
-                    for i, ids in p.search(words):
-                        change[i] += 1
-                        change[i + p.m] -= 1
-                        row = int(np.searchsorted(first, i, "right")) - 1
-                        touched.add(row)
-                        items[row].update(ids)
-                        full[row] += p.m == n
+                for block in sent:
+                    for p in block.value:
+                        for i, ids in p.search(words):
+                            change[i] += 1
+                            change[i + p.m] -= 1
+                            row = int(np.searchsorted(first, i, "right")) - 1
+                            touched.add(row)
+                            items[row].update(ids)
+                            full[row] += p.m == n
+                    if len(sent) > 1:
+                        block.__dict__.pop("_value", None)  # one block's tables at a time; the file of the broadcast stays
                 hit = np.cumsum(change)[:-1] > 0
                 spans: list[list[dict]] = [[] for _ in items]
                 for row in touched:

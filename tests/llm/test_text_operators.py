@@ -59,6 +59,20 @@ def test_decontamination_against_brute_force(spark, odd, tables):
     assert sorted(map(repr, one.select(*key).collect())) == sorted(map(repr, many.select(*key).collect()))
 
 
+def test_decontamination_of_an_item_longer_than_a_block(spark):
+    rng = random.Random(50)
+    long = prose(rng, 600, 10**6)
+    words = long.split()
+    items = spark.createDataFrame([("long", long), ("short", prose(rng, 20, 10**6)), ("tiny", words[300]), ("none", None), ("wide", "q" * 400 + f" {words[9]} " + "z" * 700), ("edge", "k" * 310 + " " + prose(rng, 12, 10**6))], "item_id string, text string")
+    docs = [(i, f"{prose(rng, 9)} {' '.join(words[i : i + 8])} {prose(rng, 9)}") for i in range(0, 592)] + [(5000 + i, f"x {' '.join(words[i : i + 7])} y") for i in range(0, 590, 10)]
+    docs += [(9000 + i, f"a {r.text} b") for i, r in enumerate(items.collect())] + [(9100, "q" * 400), (9101, f"{words[9]} {'z' * 700}")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = brute_decontam(docs, [(r.item_id, r.text) for r in items.collect()])
+    for chars in (1 << 20, 1000, 300):
+        out = decontam.find(frame, items, block_chars=chars).collect()
+        assert collections.Counter((r.doc_id, r.n_words, sum(s.end - s.begin for s in r.spans), len(r["items"])) for r in out) == collections.Counter(x[:4] for x in want.elements()), chars
+
+
 def test_decontamination_empty(spark, odd, none):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert decontam.find(odd, bench).where("size(items) > 0").count() == 0 and decontam.find(none, bench).count() == 0
