@@ -7,7 +7,7 @@ its characters per tag, adjusted for the share of link characters and link tags
 sum of a node is that of its children. The node of largest sum is the core. The least density on
 the path from it to the body is the threshold. An article element around the core (else a main element, else the body) bounds the text;
 with it go the articles next to it that reach the threshold. Inside, branches beside the path to the core
-go where their density is below the threshold: in an article or main element blocks in which links prevail, elsewhere all blocks but headings. Children of the core go only if
+go where their density is below the threshold: in an article or main element blocks in which links prevail, elsewhere all blocks but headings and what holds the page's h1. Children of the core go only if
 they are hardly anything but links.
 """
 
@@ -269,11 +269,16 @@ def select(tree: Tree, dens: list[float], sums: list[float], links: list[float])
     roots = [scope]
     if tree.tag[scope] == "article":
         roots = [j for j in tree.parts[tree.parent[scope]] if j == scope or j.__class__ is int and tree.tag[j] == "article" and not tree.cut[j] and dens[j] >= least > 0]
-    drop = set()
+    drop, titled = set(), set()
+    for i in range(len(tree.tag)):
+        if tree.tag[i] == "h1" and not tree.cut[i]:
+            while i and i not in titled:
+                titled.add(i)
+                i = tree.parent[i]
     if least > 0:
         for i in path[: path.index(scope) + 1]:
             for j in tree.parts[i]:
-                if j.__class__ is int and j not in own and not tree.cut[j] and dens[j] < least and tree.tag[j] in _BLOCK and tree.tag[j] not in _HEADINGS and (links[j] > 0.8 if i == core else links[j] > 0.5 or not scope):
+                if j.__class__ is int and j not in own and not tree.cut[j] and dens[j] < least and tree.tag[j] in _BLOCK and tree.tag[j] not in _HEADINGS and (links[j] > 0.8 if i == core else links[j] > 0.5 or not scope and j not in titled):
                     drop.add(j)
     return roots, drop
 

@@ -25,7 +25,7 @@ from .common import SLICE_BYTES, pick, slices
 from .shards import MANIFEST, ShardFile, dealt, manifest_batch, opened, publish, ranges
 
 FILE_BYTES = 128 << 20
-TABLE_WORDS = 600_000
+TABLE_WORDS = 400_000
 NO_ID = -(1 << 63)
 
 # --- checksums ---------------------------------------------------------------------------------

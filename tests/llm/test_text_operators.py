@@ -550,6 +550,8 @@ def test_html_sibling_articles_and_pages_without_any():
     assert html_density.main_text(bare) == f"H\n{long}\n{long}\nShort."
     main = f"<body><main><h1>H</h1><div><ul>{links}</ul></div><div><p>{long}</p><p>{long}</p></div><p>By A. Writer</p></main></body>"
     assert html_density.main_text(main) == f"H\n{long}\n{long}\nBy A. Writer"
+    apart = f"<body><div class=top><h1>H</h1></div><div class=story><p>{long}</p><p>{long}</p></div><div><ul>{links}</ul></div></body>"
+    assert html_density.main_text(apart) == f"H\n{long}\n{long}"
     inside = f"<body><article><h1>H</h1><p>{long}</p><p>{long}</p><ul>{links}</ul></article></body>"
     assert html_density.main_text(inside) == f"H\n{long}\n{long}"
 
@@ -590,7 +592,7 @@ def plain_selection(tree):
         for j in tree.parts[i]:
             if isinstance(j, int) and not tree.cut[j] and j not in path and density(j) < least and tree.tag[j] in html_density._BLOCK and tree.tag[j] not in html_density._HEADINGS:
                 share = link_chars(j) / chars(j) if chars(j) else 0.0
-                if share > 0.8 or i != core and (share > 0.5 or scope == 0):
+                if share > 0.8 or i != core and (share > 0.5 or scope == 0 and not any(tree.tag[k] == "h1" for k in nodes(j))):
                     drop.add(j)
         if i == scope:
             break
@@ -609,7 +611,7 @@ def test_html_density_against_its_definition():
         if kind == "link":
             return f"<a href=/>{prose(rng, 3)}</a>"
         if kind == "head":
-            return f"<h2>{prose(rng, 3)}</h2>"
+            return rng.choice(["<h2>{}</h2>", "<div><h1>{}</h1></div>"]).format(prose(rng, 3))
         if kind == "list":
             return "<ul>" + "".join(f"<li><a href=/>{prose(rng, 2)}</a></li>" for _ in range(rng.randrange(1, 7))) + "</ul>"
         if kind == "cut":
