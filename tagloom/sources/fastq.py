@@ -18,8 +18,11 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -82,18 +85,73 @@ def plain_id(name: str) -> str:
     return name[:-2] if name.endswith(("/1", "/2")) else name
 
 
-def pairs(path1: str, path2: str) -> Iterator[tuple]:
-    one, two, n = records(path1), records(path2), 0
+def arrays(path: str, size: int = 1 << 22) -> Iterator[list[pa.Array]]:
+    """The names, sequences and qualities of a file, some MB at a time, as string arrays.
+
+    Lines are split, trimmed and upper-cased by Arrow. Where a stretch isn't records of four ASCII lines, records() takes over from the
+    first record not yet given: it knows blank lines and other bytes, and says what is wrong.
+    """
+    pc, rest, done = pa.compute, b"", 0
+    for data in chain(content(path, size), [None]):
+        if data is None:
+            if not rest:
+                return
+            text, rest = rest + (b"" if rest.endswith(b"\n") else b"\n"), b""
+        else:
+            text = rest + data
+        raw = np.frombuffer(text, np.uint8)
+        ends = np.flatnonzero(raw == 10)
+        n = len(ends) // 4 * 4
+        if data is not None and not n:
+            rest = text
+            continue
+        starts = np.concatenate([[0], ends + 1])
+        if data is None and starts[n] < len(text) or (raw >= 128).any() or len(text) >= 1 << 31:
+            break
+        rest = text[starts[n] :] if data is not None else b""
+        lines = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(starts[: n + 1].astype(np.int32).tobytes()), pa.py_buffer(text)])
+        name, seq, plus, qual = (pc.ascii_rtrim(lines.take(pa.array(np.arange(k, n, 4))), characters="\r\n") for k in range(4))
+        whole = pc.all(pc.and_(pc.and_(pc.starts_with(name, "@"), pc.starts_with(plus, "+")), pc.equal(pc.binary_length(seq), pc.binary_length(qual)))).as_py()
+        if n and not whole:
+            break
+        if n:
+            yield [pc.utf8_slice_codeunits(name, 1), pc.ascii_upper(seq), qual]
+            done += n // 4
+    else:
+        return
+    rows = islice(records(path), done, None)
+    while part := list(islice(rows, BATCH)):
+        yield [pa.array(c, pa.string()) for c in zip(*part)]
+
+
+def plain_ids(names: pa.Array) -> pa.Array:
+    """plain_id() of each name."""
+    pc = pa.compute
+    return pc.replace_substring_regex(pc.replace_substring_regex(names, "^([^ \t]*).*$", r"\1"), "/[12]$", "")
+
+
+def paired_arrays(path1: str, path2: str) -> Iterator[list[pa.Array]]:
+    """The arrays of both mates side by side, checked: both files end together and names agree."""
+    streams, held, n = (arrays(path1), arrays(path2)), [None, None], 0
     while True:
-        n += 1
-        a, b = next(one, None), next(two, None)
-        if a is None and b is None:
+        for k in (0, 1):
+            while held[k] is None or not len(held[k][0]):
+                held[k] = next(streams[k], None)
+                if held[k] is None:
+                    break
+        if held[0] is None and held[1] is None:
             return
-        if a is None or b is None:
-            raise PairError(f"{'R1' if a is None else 'R2'} ended before {'R2' if a is None else 'R1'} at record {n}")
-        if plain_id(a[0]) != plain_id(b[0]):
-            raise PairError(f"record {n}: mates are named {a[0]!r} and {b[0]!r}")
-        yield (*a, *b)
+        if held[0] is None or held[1] is None:
+            raise PairError(f"{'R1' if held[0] is None else 'R2'} ended before {'R2' if held[0] is None else 'R1'} at record {n + 1}")
+        size = min(len(held[0][0]), len(held[1][0]))
+        one, two = ([c.slice(0, size) for c in h] for h in held)
+        same = pa.compute.equal(plain_ids(one[0]), plain_ids(two[0]))
+        if not pa.compute.all(same).as_py():
+            at = same.to_pylist().index(False)
+            raise PairError(f"record {n + at + 1}: mates are named {one[0][at].as_py()!r} and {two[0][at].as_py()!r}")
+        yield [*one, *two]
+        n += size
+        held = [[c.slice(size) for c in h] for h in held]
 
 
 @dataclass
@@ -127,22 +185,19 @@ class FastqReader(DataSourceReader):
         return self.files
 
     def read(self, partition):
-        rows = pairs(partition.path, partition.path2) if self.paired else records(partition.path)
+        parts = paired_arrays(partition.path, partition.path2) if self.paired else arrays(partition.path)
         names = [f"{m}_{f}" for m in (("r1", "r2") if self.paired else ("r1",)) for f in ("name", "seq", "qual")]
-        ords, columns = [], [[] for _ in names]
-        for i, row in enumerate(rows):
-            if i < self.skip:
-                continue
-            if self.limit and i >= self.skip + self.limit:
-                break
-            ords.append(partition.first + i)
-            for c, v in zip(columns, row):
-                c.append(v)
-            if len(ords) == BATCH:
-                yield pa.RecordBatch.from_arrays([pa.array(ords, pa.int64()), *(pa.array(c, pa.string()) for c in columns)], ["ord", *names])
-                ords, columns = [], [[] for _ in names]
-        if ords:
-            yield pa.RecordBatch.from_arrays([pa.array(ords, pa.int64()), *(pa.array(c, pa.string()) for c in columns)], ["ord", *names])
+        at, stop = 0, self.skip + self.limit if self.limit else None
+        for columns in parts:
+            n = len(columns[0])
+            a, b = max(self.skip - at, 0), n if stop is None else min(stop - at, n)
+            for x in range(a, b, BATCH):
+                size = min(BATCH, b - x)
+                ords = pa.array(np.arange(size, dtype=np.int64) + (partition.first + at + x))
+                yield pa.RecordBatch.from_arrays([ords, *(c.slice(x, size) for c in columns)], ["ord", *names])
+            at += n
+            if stop is not None and at >= stop:
+                return
 
 
 #: The list of a write's segments, by file and in order; it stands once the write has succeeded.

@@ -328,3 +328,30 @@ def test_human_summary():
     assert ["reads", "1,234,567"] in lines and ["assigned", "1,000,000", "81.00", "%"] in lines and ["s1", "999,999"] in lines and ["mates", "in", "order", "10", "0.00", "%"] in lines
     none = "metric\tcount\n" + "".join(f"{m}\t0\n" for m in rows)
     assert "sample" not in summary.human(none) and "mates" not in summary.human(none)
+
+
+def test_reader_by_arrow_against_the_plain_loop(tmp_path):
+    rng = random.Random(9)
+    rows = [(f"read{i} x:{i}" + ("/1" if i % 2 else ""), "".join(rng.choice("ACGTn") for _ in range(rng.randrange(0, 90)))) for i in range(3000)]
+    text = "".join(f"@{n}\n{s}\n+\n{'I' * len(s)}\n" for n, s in rows).encode()
+    cases = {"plain": text, "crlf": text.replace(b"\n", b"\r\n"), "no_end": text[:-1], "cut": text[:70_000], "bytes": text.replace(b"read777 ", b"read\xe9 "), "empty": b"", "blank": b"\n\n@a\nA\n+\nI\n\n\n@b\nC\n+\nI\n\n", "wrong": text[: text.index(b"@read90 ")] + b"@x\nAC\n+\nI\n" + text, "lines": text[: text.index(b"@read90 ")] + b"@x\nAC\nAC\nII\n" + text}
+
+    def told(rows):
+        got = []
+        try:
+            for r in rows:
+                got.append(r)
+        except FastqError as e:
+            got.append(str(e))
+        return got
+
+    for name, data in cases.items():
+        path = tmp_path / name
+        path.write_bytes(gzip.compress(data) if name == "crlf" else data)
+        want = told(fastq.records(str(path)))
+        for size in (1 << 22, 997, 30_000):
+            got = told(tuple(r) for b in fastq.arrays(str(path), size) for r in zip(*(c.to_pylist() for c in b)))
+            # Rows come in batches, so an error may stand before some rows that precede it in the file.
+            assert got == want if not isinstance(want[-1:][0] if want else None, str) else got[-1] == want[-1] and got[:-1] == want[: len(got) - 1], (name, size)
+    ids = ["a/1", "a b/1", "a\tb", "a/2 c", "/1", "", "x/3"]
+    assert fastq.plain_ids(__import__("pyarrow").array(ids)).to_pylist() == [fastq.plain_id(x) for x in ids]
