@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -181,7 +182,8 @@ def _exact(df: DataFrame, sheet: Sheet, arms) -> DataFrame:
     lengths = (first.barcode1.length, first.barcode2.length)
     hits = []
     for arm, read1, read2, _ in arms:
-        table = spark.createDataFrame([(s.barcode1.raw, s.barcode2.raw, s.id) for s in sheet.samples], f"__a{arm} string, __b{arm} string, __hit{arm} int")
+        rows = {f"__a{arm}": [s.barcode1.raw for s in sheet.samples], f"__b{arm}": [s.barcode2.raw for s in sheet.samples], f"__hit{arm}": pa.array([s.id for s in sheet.samples], pa.int32())}
+        table = spark.createDataFrame(pa.table(rows))  # from Arrow: a local relation, not a job of its own
         on = (F.substring(read1, 1, lengths[0]) == F.col(f"__a{arm}")) & (F.substring(read2, 1, lengths[1]) == F.col(f"__b{arm}"))
         df = df.join(F.broadcast(table), on, "left").drop(f"__a{arm}", f"__b{arm}")
         hits.append((arm, F.col(f"__hit{arm}")))
