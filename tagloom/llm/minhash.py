@@ -289,7 +289,7 @@ def across(rows: DataFrame, reps: DataFrame, length: int, threshold: float, miss
     with_major = F.transform(F.when(F.col("big"), to("minor")).otherwise(to("major")), lambda x: F.struct(F.lit(0).alias("t"), F.when(F.col("big"), F.col("block")).otherwise(x).alias("i"), F.when(F.col("big"), x).otherwise(F.col("block")).alias("j")))
     with_minor = F.when(F.col("big"), F.array().cast("array<struct<t:int,i:bigint,j:bigint>>")).otherwise(F.transform(to("minor"), lambda x: F.struct(F.lit(1).alias("t"), F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j"))))
     tasks = rows.select("key", "id", "component", "big", F.explode(F.concat(with_major, with_minor)).alias("task")).select("key", "task.*", "id", "component", "big")
-    full = tasks.join(reps.select("id", "n", "bands", "sig"), "id").select(*_TASK, "id", "component", "big", "n", "bands", "sig").repartition(*_TASK).sortWithinPartitions(*_TASK)
+    full = tasks.join(reps.select("id", "n", "bands", "sig").hint("merge"), "id").select(*_TASK, "id", "component", "big", "n", "bands", "sig").repartition(*_TASK).sortWithinPartitions(*_TASK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = Bounds(length, threshold, miss)
