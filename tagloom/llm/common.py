@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -62,9 +63,19 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in names.items()])
 
 
+def release() -> None:
+    """Give free memory of this worker back to the system: workers are used again by later tasks and stages, and an executor holds several."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which has no such call
+        pass
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds about ``limit`` bytes of the text column, or one row."""
+    """The batches cut so that each holds about ``limit`` bytes of the text column, or one row. Free memory is released batch by batch."""
     for batch in batches:
+        release()
         col = batch.column(batch.schema.get_field_index(column))
         if not len(col):
             continue
@@ -76,6 +87,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
                 begin, held = i, 0
             held += int(n)
         yield batch.slice(begin)
+    release()
 
 
 def packed(col: pa.Array):

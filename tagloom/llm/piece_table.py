@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices
+from .common import pick, release, slices
 
 MARK = "▁"
-TABLE_BYTES = 96 << 20
+TABLE_BYTES = 64 << 20
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}]*")
 _processors: dict = {}
 
@@ -60,7 +60,7 @@ class ChunkTable:
                 ids = [self.sp.piece_to_id(MARK)]
             self.ids[c] = np.array(ids, "<i4").tobytes()
             self.words[c] = " " + self.sp.decode(ids) if len(c) > 1 else " "
-            self.held += 200 + 8 * len(c) + 4 * len(ids)
+            self.held += 400 + 5 * len(c) + 4 * len(ids)  # two entries of dictionaries, and three objects
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -87,6 +87,8 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
             values = np.frombuffer(b"".join(ids), np.int32)
             offsets = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
+        del table
+        release()
 
     rows = pick(df, id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
     kind = rows.schema["id"].dataType.simpleString()
