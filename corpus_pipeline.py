@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import crf, decontam, line_dedup, minhash, piece_table
-from tagloom.llm.common import materialize, remove, table
+from tagloom.llm.common import materialize, remove, table, without
 from tagloom.llm.digests import id_digests
 
 
@@ -42,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     out = minhash.near_duplicates(docs)
     gone = out.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, gone, "doc_id")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,11 +9,13 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once; bounds its temporary arrays.
 SLICE_BYTES = 2 << 20
+#: Words, of 64 bits, of a filter on ids; a filter is a broadcast table of so many rows at most.
+FILTER_WORDS = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +65,37 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in names.items()])
 
 
+def _place(name: str) -> tuple[Column, Column]:
+    """(word, bits) of an id in a filter."""
+    h = F.xxhash64(F.col(f"`{name}`"))
+    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, at).bitwiseAND(63).cast("int")) for at in (32, 38, 44, 50)]
+    return F.pmod(h, F.lit(FILTER_WORDS).cast("bigint")), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
+
+
+def _filtered(rows: DataFrame, ids: DataFrame, name: str, how: str) -> tuple[DataFrame, Column]:
+    """rows joined with a Bloom filter of ids, and whether the filter has a row's id: true for all that are there, and for few others."""
+    word, bits = _place(name)
+    held = ids.select(word.alias("_word"), bits.alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_held"))
+    out = rows.withColumn("_word", word).withColumn("_bits", bits).join(F.broadcast(held), "_word", how)
+    return out, F.coalesce(F.col("_held").bitwiseAND(F.col("_bits")) == F.col("_bits"), F.lit(False))
+
+
+def about(rows: DataFrame, ids: DataFrame, name: str = "id") -> DataFrame:
+    """The rows whose ``name`` is among that of ids, with a few others: what a join on it need not move goes before the exchange.
+
+    Some millions of ids leave few others. With far more the filter fills up and lets all rows pass: the join moves more, and is right still.
+    """
+    out, has = _filtered(rows, ids, name, "inner")
+    return out.where(has).select(*rows.columns)
+
+
+def without(rows: DataFrame, ids: DataFrame, name: str = "id") -> DataFrame:
+    """The rows whose ``name`` is not among that of ids, nulls included: an anti join that moves only rows that the filter of ids has."""
+    out, has = _filtered(rows, ids, name, "left")
+    some = out.where(has).select(*rows.columns).join(ids.select(name).hint("merge"), name, "left_anti").select(*rows.columns)
+    return out.where(~has).select(*rows.columns).unionByName(some)
+
+
 def release() -> None:
     """Give free memory of this worker back to the system: workers are used again by later tasks and stages, and an executor holds several."""
     pa.default_memory_pool().release_unused()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, remove, slices
+from .common import about, materialize, pick, remove, slices
 from .components import components
 from .words import NOT_SPACE, Words, mix64, sequence_hash
 
@@ -155,8 +155,8 @@ def _similar_size(a: str, b: str, threshold: float):
 
 def prune(pairs: DataFrame, reps: DataFrame, length: int, threshold: float, miss: float) -> DataFrame:
     """The pairs (a, b) that the comparison of signatures doesn't rule out."""
-    left = reps.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
-    right = reps.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
+    left = about(reps.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), pairs, "a")
+    right = about(reps.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), pairs, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = Bounds(length, threshold, miss)
@@ -179,8 +179,9 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
     wanted = dealt.select(F.col("b").alias("id"), "a", "part", F.lit(1).alias("role")).unionByName(dealt.select(F.col("a").alias("id"), "a", "part", F.lit(0).alias("role")).distinct())
-    # The same join at every size: one shuffle of the texts, none to the driver.
-    texts = wanted.join(docs.hint("merge"), "id").select("a", "part", "role", "id", "text").repartition("a", "part").sortWithinPartitions("a", "part", "role")
+    # The same join at every size: one shuffle of the texts of pairs, none to the driver.
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    texts = wanted.join(about(docs, ids).hint("merge"), "id").select("a", "part", "role", "id", "text").repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = None, []
@@ -226,7 +227,7 @@ def met(hot: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     In a shingle's group, members of its largest component are not held against each other.
     """
     spark, kind = docs.sparkSession, hot.schema["id"].dataType.simpleString()
-    texts, path = materialize(spark, hot.join(docs.hint("merge"), "id").select("id", "component", "text"), "hot")
+    texts, path = materialize(spark, hot.join(about(docs, hot).hint("merge"), "id").select("id", "component", "text"), "hot")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
@@ -289,7 +290,7 @@ def across(rows: DataFrame, reps: DataFrame, length: int, threshold: float, miss
     with_major = F.transform(F.when(F.col("big"), to("minor")).otherwise(to("major")), lambda x: F.struct(F.lit(0).alias("t"), F.when(F.col("big"), F.col("block")).otherwise(x).alias("i"), F.when(F.col("big"), x).otherwise(F.col("block")).alias("j")))
     with_minor = F.when(F.col("big"), F.array().cast("array<struct<t:int,i:bigint,j:bigint>>")).otherwise(F.transform(to("minor"), lambda x: F.struct(F.lit(1).alias("t"), F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j"))))
     tasks = rows.select("key", "id", "component", "big", F.explode(F.concat(with_major, with_minor)).alias("task")).select("key", "task.*", "id", "component", "big")
-    full = tasks.join(reps.select("id", "n", "bands", "sig").hint("merge"), "id").select(*_TASK, "id", "component", "big", "n", "bands", "sig").repartition(*_TASK).sortWithinPartitions(*_TASK)
+    full = tasks.join(about(reps.select("id", "n", "bands", "sig"), rows).hint("merge"), "id").select(*_TASK, "id", "component", "big", "n", "bands", "sig").repartition(*_TASK).sortWithinPartitions(*_TASK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = Bounds(length, threshold, miss)
@@ -356,7 +357,7 @@ def joined(members: DataFrame, docs: DataFrame, k: int, length: int, threshold:
     need no second link there, so a task gives fewer links than it has members. A task holds the sets of two blocks.
     """
     kind = members.schema["id"].dataType.simpleString()
-    texts = members.join(docs.hint("merge"), "id").select(*members.columns, "text").repartition(*_TASK).sortWithinPartitions(*_TASK, "id")
+    texts = members.join(about(docs, members).hint("merge"), "id").select(*members.columns, "text").repartition(*_TASK).sortWithinPartitions(*_TASK, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = Bounds(length, threshold, miss)

@@ -6,7 +6,8 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from tagloom.llm import minhash, queries
+from tagloom.llm import common, minhash, queries
+from tagloom.llm.common import without
 from tagloom.llm.components import components
 from tests.llm.conftest import DOCUMENTS, prose
 
@@ -125,3 +126,37 @@ def test_minima_estimate_similarity():
     hasher, pool = minhash.Hasher(40, 6, minhash.LENGTH), rng.integers(0, 1 << 63, 1200).astype(np.uint64)
     a, b = hasher.minima(pool[:1000]), hasher.minima(pool[200:])
     assert abs((a == b).mean() - 800 / 1200) < 0.06
+
+
+def written(spark):
+    """Bytes that all shuffles of the session have written."""
+    jvm = spark.sparkContext._jsc.sc()
+    jvm.listenerBus().waitUntilEmpty(30_000)
+    found = jvm.statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_only_texts_of_pairs_are_moved(spark, tables):
+    rng = random.Random(41)
+    rows = [(i, " ".join(f"{rng.getrandbits(240):060x}" for _ in range(1000)), None, None, None) for i in range(150)]
+    rows += [(1000 + i, rows[i][1] + " changed", None, None, None) for i in range(3)] + [(None, "no id", None, None, None)]
+    path = tables(documents=spark.createDataFrame(rows, DOCUMENTS))
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    before = written(spark)
+    out = without(docs, minhash.near_duplicates(docs).where("not kept").select("doc_id"), "doc_id").select("doc_id", "text").collect()
+    assert sorted(r.doc_id for r in out if r.doc_id is not None) == list(range(150)) and len(out) == 151
+    assert 0 < written(spark) - before < sum(len(r[1]) for r in rows) / 2
+
+
+def test_filters_of_ids_keep_joins_exact(spark, monkeypatch):
+    rng = random.Random(43)
+    for kind, of in (("bigint", lambda i: i * 7919 - 500_000), ("string", lambda i: f"d{i}")):
+        rows = spark.createDataFrame([(of(rng.randrange(2000)) if i % 9 else None, i) for i in range(3000)], f"doc_id {kind}, n int")
+        ids = spark.createDataFrame([(of(rng.randrange(3000)),) for _ in range(300)], f"doc_id {kind}")
+        wanted = {r.doc_id for r in ids.collect()}
+        for words in (1, 8, common.FILTER_WORDS):
+            monkeypatch.setattr(common, "FILTER_WORDS", words)
+            some = common.about(rows, ids, "doc_id")
+            assert some.columns == rows.columns and {r.n for r in rows.collect() if r.doc_id in wanted} <= {r.n for r in some.collect()}
+            assert sorted(r.n for r in without(rows, ids, "doc_id").collect()) == [r.n for r in rows.orderBy("n").collect() if r.doc_id not in wanted]
+        assert without(rows, ids.limit(0), "doc_id").count() == 3000 and common.about(rows, ids.limit(0), "doc_id").count() == 0
