@@ -142,6 +142,9 @@ _encoders: dict[str, "WordEncoder"] = {}
 #: Letters that normalization and lower-casing leave as they are.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 _PLAIN_WORD, _STOP = "^[a-zß-öø-ÿ]+[.,]?$", "([.,])$"
+#: A word of such letters, and marks of ASCII after it: the library splits there, so both have ids of their own. Apostrophes can start a
+#: pre-token with letters, and < a special token.
+_TAILED, _TAIL = r"^([a-zß-öø-ÿ]+)[!-&(-/:;=-@\[-`{-~]+$", r"^[a-zß-öø-ÿ]+"
 #: Marks that can be composed with a letter A-Z before them (U+0300 to U+036F): there, lower-casing first is not the same.
 _MARKS = r"\xcc|\xcd[\x80-\xaf]"
 
@@ -179,6 +182,8 @@ class WordEncoder:
             if any(np.frombuffer(self.table[x], f"<u{self.width}").tolist() != ids(x) for x in probes):
                 self.fast = None
             self.table = {}
+        marks = ["".join(chr(b) for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<"), ".", ",", "$$$", "!?", "_", "/-"]
+        self.tails = bool(self.fast) and all(ids(a + b) == ids(a) + ids(b) for a in ("a", "word", "straße", "coração") for b in [*marks, *marks[0]])
 
     def _splitter(self, spec: dict):
         """(the library's model, splitting at blanks only; which ids end a word), if ids tell where words end."""
@@ -235,14 +240,26 @@ class WordEncoder:
         col = pa.compute.replace_substring(pa.compute.ascii_lower(col) if lower else col, "\n", " ")
         lists = pa.compute.split_pattern(col, " ")
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self.learn(words)
-        ids = pa.array(list(map(self.table.__getitem__, words)), pa.large_binary()).take(coded.indices)
+        ids = self._of_words(coded.dictionary).take(coded.indices)
         _, offsets, data = ids.buffers()
         edges = np.frombuffer(offsets, np.int64)[: len(ids) + 1][lists.offsets.to_numpy()].tolist()
         data = memoryview(data or b"")
         return [bytes(data[a:b]) for a, b in zip(edges[:-1], edges[1:])]
 
+    def _of_words(self, col: pa.Array) -> pa.Array:
+        """The ids of distinct words; one with marks at its end shares the table's entry of the word without them."""
+        heads = pa.compute.replace_substring_regex(col, _TAILED, r"\1") if self.tails else col
+        tailed = pa.compute.not_equal(heads, col)
+        tails = pa.compute.replace_substring_regex(col.filter(tailed), _TAIL, "").dictionary_encode()
+        heads, ends = (x.to_numpy(zero_copy_only=False).tolist() for x in (heads, tails.dictionary))
+        self.learn(list(dict.fromkeys([*heads, *ends])))
+        out = pa.array(list(map(self.table.__getitem__, heads)), pa.large_binary())
+        if not ends:
+            return out
+        ends = pa.array(list(map(self.table.__getitem__, ends)), pa.large_binary()).take(tails.indices)
+        both = pa.compute.binary_join_element_wise(out.filter(tailed), ends, pa.scalar(b"", pa.large_binary()))
+        return pa.compute.replace_with_mask(out, tailed, both)
+
     def learn(self, words: list[str]) -> None:
         """Add the words that the table lacks; starts anew when it is full."""
         if len(self.table) > TABLE_WORDS:

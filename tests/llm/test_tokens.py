@@ -165,3 +165,23 @@ def test_shuffled_reads_follow_the_index(spark, odd, none, tmp_path):
     assert collections.Counter((d, i) for _, d, i in one) == collections.Counter((d, i) for _, d, i in two) == plain
     records.write_records(none, f"file://{tmp_path}/n", WORDS)
     assert records.read_shuffled(spark, f"file://{tmp_path}/n").count() == 0
+
+
+#: Words with marks at their end, before and inside, contractions, marks of special tokens and letters beyond the plain ones.
+TAILED = st.lists(st.sampled_from([*"abstremß éÑ1 \n$#*!.,?_-/'<|>=~&%\\`^\u0338\u0301", "'s", "'re", "<|", "$$$", "...", ". ", " the"]), max_size=30).map("".join)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(TAILED)
+def test_words_with_marks_join_to_the_library_result(text):
+    encoder = records.WordEncoder.of(WORDS)
+    assert encoder.tails
+    assert np.frombuffer(encoder.ids([text])[0], "<u2").tolist() == encoder.lib.encode(text, add_special_tokens=False).ids
+
+
+def test_words_with_marks_share_an_entry():
+    encoder = records.WordEncoder(WORDS)
+    texts = ["stretta stretta. stretta$$$ Stretta,### stretta'", "it's don't. x$$$ $$$"]
+    got = [np.frombuffer(x, "<u2").tolist() for x in encoder.ids(texts)]
+    assert got == [encoder.lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert set(encoder.table) == {"stretta", ".", "$$$", ",###", "stretta'", "it's", "don't.", "x"}
