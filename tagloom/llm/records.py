@@ -25,6 +25,7 @@ from .common import SLICE_BYTES, pick, slices
 from .shards import MANIFEST, ShardFile, dealt, manifest_batch, opened, publish, ranges
 
 FILE_BYTES = 128 << 20
+TASK_BYTES = 16 << 20
 TABLE_WORDS = 400_000
 NO_ID = -(1 << 63)
 
@@ -40,6 +41,7 @@ def _byte_table() -> np.ndarray:
 
 _T0 = _byte_table()
 _BLOCK = 512
+_ZEROS = bytes(_BLOCK)
 
 
 def _after(steps: int, table: np.ndarray) -> np.ndarray:
@@ -65,25 +67,41 @@ def crc32c(data: bytes) -> int:
     return crc32c_all([data])[0]
 
 
+def _through(rows: np.ndarray) -> np.ndarray:
+    """The register that each row of two-byte numbers leaves, from a register of zeros; all rows go through the table in step."""
+    state = np.zeros(len(rows), np.uint32)
+    low, at, step = state.view("<u2")[::2], np.empty(len(rows), np.intp), np.empty(len(rows), np.uint32)
+    for pair in np.ascontiguousarray(rows.T):
+        np.bitwise_xor(low, pair, out=at, casting="unsafe")
+        _T2.take(at, out=step, mode="clip")
+        np.right_shift(state, 16, out=state)
+        np.bitwise_xor(state, step, out=state)
+    return state
+
+
+def _crc32c_sizes(sizes: np.ndarray) -> list[int]:
+    """CRC-32C of each of some unsigned 64-bit numbers."""
+    return (_through((sizes.astype("<u8") ^ np.uint64(0xFFFFFFFF)).view("<u2").reshape(-1, 4)) ^ np.uint32(0xFFFFFFFF)).tolist()
+
+
 def crc32c_all(parts: list) -> list[int]:
     """CRC-32C of each of some byte strings of four bytes or more.
 
     A register of zeros ignores leading zeros, so each is padded in front to whole blocks; the blocks of all of them then go
     through the table in step, two bytes at a time, and what blocks give is chained for each string.
     """
-    blocks = [-(-len(p) // _BLOCK) for p in parts]
-    padded = np.zeros(sum(blocks) * _BLOCK, np.uint8)
-    end = 0
-    for p, n in zip(parts, blocks):
-        end += n * _BLOCK
-        padded[end - len(p) : end] = np.frombuffer(p, np.uint8)
-        padded[end - len(p) : end - len(p) + 4] ^= 0xFF
-    state = np.zeros(sum(blocks), np.uint32)
-    for pair in np.ascontiguousarray(padded.view("<u2").reshape(-1, _BLOCK // 2).T):
-        state = _T2[(state ^ pair) & 0xFFFF] ^ (state >> 16)
-    states, at, out = state.tolist(), 0, []
+    if not parts:
+        return []
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    blocks = -(-sizes // _BLOCK)
+    lead = (blocks * _BLOCK - sizes).tolist()
+    padded = np.frombuffer(bytearray().join(chain.from_iterable(zip([_ZEROS[:n] for n in lead], parts))), np.uint8)
+    first = np.cumsum(blocks * _BLOCK) - sizes
+    for i in range(4):
+        padded[first + i] ^= 0xFF
+    states, at, out = _through(padded.view("<u2").reshape(-1, _BLOCK // 2)).tolist(), 0, []
     s0, s1, s2, s3 = _SKIP
-    for n in blocks:
+    for n in blocks.tolist():
         crc = 0
         for block in states[at : at + n]:
             crc = s0[crc & 255] ^ s1[crc >> 8 & 255] ^ s2[crc >> 16 & 255] ^ s3[crc >> 24] ^ block
@@ -98,8 +116,8 @@ def masked(crc: int) -> int:
 
 def frames(payloads: list[bytes]) -> list[bytes]:
     """The record of each payload (of four bytes or more)."""
-    sizes = [struct.pack("<Q", len(p)) for p in payloads]
-    return [b"".join((n, struct.pack("<I", masked(a)), p, struct.pack("<I", masked(b)))) for n, a, p, b in zip(sizes, crc32c_all(sizes), payloads, crc32c_all(payloads))]
+    checks = _crc32c_sizes(np.fromiter(map(len, payloads), np.uint64, len(payloads)))
+    return [b"".join((struct.pack("<QI", len(p), masked(a)), p, struct.pack("<I", masked(b)))) for a, p, b in zip(checks, payloads, crc32c_all(payloads))]
 
 
 def frame(payload: bytes) -> bytes:
@@ -130,7 +148,7 @@ def unframe(stream, together: int = SLICE_BYTES) -> Iterator[bytes]:
 
 def _check(heads: list[bytes], bodies: list[bytes]) -> None:
     stated = [struct.unpack("<I", h[8:])[0] for h in heads], [struct.unpack("<I", b[-4:])[0] for b in bodies]
-    if stated[0] != [masked(c) for c in crc32c_all([h[:8] for h in heads])]:
+    if stated[0] != [masked(c) for c in _crc32c_sizes(np.array([struct.unpack("<Q", h[:8])[0] for h in heads], np.uint64))]:
         raise ValueError("a record's length is damaged")
     if any(len(b) < 8 for b in bodies) or stated[1] != [masked(c) for c in crc32c_all([memoryview(b)[:-4] for b in bodies])]:
         raise ValueError("a record is damaged")
@@ -170,6 +188,7 @@ class WordEncoder:
         self.special = {t["content"][:2] for t in spec["added_tokens"]}
         self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
         self.table: dict[str, bytes] = {}
+        self.again: set[str] = set()
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letter = {b: chr(b) for b in printed} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in printed)}
         ids = lambda t: self.lib.encode(t, add_special_tokens=False).ids
@@ -248,24 +267,41 @@ class WordEncoder:
 
     def _of_words(self, col: pa.Array) -> pa.Array:
         """The ids of distinct words; one with marks at its end shares the table's entry of the word without them."""
-        heads = pa.compute.replace_substring_regex(col, _TAILED, r"\1") if self.tails else col
+        if not self.tails:
+            return pa.array(self.known(col.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        heads = pa.compute.replace_substring_regex(col, _TAILED, r"\1")
         tailed = pa.compute.not_equal(heads, col)
         tails = pa.compute.replace_substring_regex(col.filter(tailed), _TAIL, "").dictionary_encode()
-        heads, ends = (x.to_numpy(zero_copy_only=False).tolist() for x in (heads, tails.dictionary))
-        self.learn(list(dict.fromkeys([*heads, *ends])))
-        out = pa.array(list(map(self.table.__getitem__, heads)), pa.large_binary())
+        heads = heads.dictionary_encode()
+        ends = self.known(tails.dictionary.to_numpy(zero_copy_only=False).tolist())
+        out = pa.array(self.known(heads.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(heads.indices)
         if not ends:
             return out
-        ends = pa.array(list(map(self.table.__getitem__, ends)), pa.large_binary()).take(tails.indices)
-        both = pa.compute.binary_join_element_wise(out.filter(tailed), ends, pa.scalar(b"", pa.large_binary()))
+        both = pa.compute.binary_join_element_wise(out.filter(tailed), pa.array(ends, pa.large_binary()).take(tails.indices), pa.scalar(b"", pa.large_binary()))
         return pa.compute.replace_with_mask(out, tailed, both)
 
-    def learn(self, words: list[str]) -> None:
-        """Add the words that the table lacks; starts anew when it is full."""
+    def known(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, learnt where the table lacks them.
+
+        A full table starts anew with the words that were met again while its last quarter filled up: those are the frequent ones.
+        """
         if len(self.table) > TABLE_WORDS:
-            self.table = {}
+            # Where they alone would fill half of it, none is frequent.
+            self.table = {w: self.table[w] for w in self.again if w in self.table} if len(self.again) <= TABLE_WORDS // 2 else {}
+            self.again = set()
+        table = self.table
+        out = list(map(table.get, words))
+        lacking = [i for i, x in enumerate(out) if x is None]
+        if len(table) > TABLE_WORDS * 3 // 4 and len(self.again) <= TABLE_WORDS // 2:
+            self.again.update(w for w, x in zip(words, out) if x is not None)
+        self.learn([words[i] for i in lacking])
+        for i in lacking:
+            out[i] = table[words[i]]
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        """Add words that the table lacks."""
         table, kind = self.table, f"<u{self.width}"
-        new = [w for w in words if w not in table]
         if self.fast and new:
             col = pa.array(new, pa.string())
             plain = pa.compute.match_substring_regex(col, _PLAIN_WORD)
@@ -327,8 +363,12 @@ def write_records(df: DataFrame, base: str, tokenizer: str, end_id: int | None =
     return publish(df.sparkSession, files, base, "tokens")
 
 
-def read_records(spark: SparkSession, base: str) -> DataFrame:
-    """doc_id, start (ids of all records before it) and ids, from the files that the manifest lists."""
+def read_records(spark: SparkSession, base: str, packed: bool = False) -> DataFrame:
+    """doc_id, start (ids of all records before it) and ids, from the files that the manifest lists.
+
+    packed: ids as little-endian unsigned 32-bit integers in a binary column, which Spark moves and digests as a whole.
+    A task reads files of ``TASK_BYTES`` together, or fewer where that would leave cores idle.
+    """
     files = spark.read.parquet(f"{base}/manifest").where(F.col("path").endswith(".rec"))
     # One row for each file: its start is the sum of the ids of the files before it.
     files = files.withColumn("start", F.sum("units").over(Window.orderBy("partition", "seq").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["start"])
@@ -341,20 +381,22 @@ def read_records(spark: SparkSession, base: str) -> DataFrame:
                     docs, starts, parts, held = [], [], [], 0
                     for payload in unframe(stream):
                         doc, width = struct.unpack("<qB", payload[:9])
-                        ids = np.frombuffer(payload, f"<u{width}", offset=9).astype(np.int32)
+                        ids = np.frombuffer(payload, f"<u{width}", offset=9).astype("<u4" if packed else np.int32)
                         docs.append(None if doc == NO_ID else doc)
                         starts.append(start)
                         parts.append(ids)
                         start += len(ids)
                         held += ids.nbytes
                         if held > SLICE_BYTES:
-                            yield _batch(docs, starts, parts)
+                            yield _batch(docs, starts, parts, packed=packed)
                             docs, starts, parts, held = [], [], [], 0
                     if docs:
-                        yield _batch(docs, starts, parts)
+                        yield _batch(docs, starts, parts, packed=packed)
 
-    spread = files.select("path", "start").repartition(max(1, files.count()))
-    return spread.mapInArrow(run, "doc_id bigint, start bigint, ids array<int>")
+    n, size = files.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = min(n, max(size // TASK_BYTES, 4 * spark.sparkContext.defaultParallelism))
+    spread = files.select("path", "start").repartition(max(1, tasks))
+    return spread.mapInArrow(run, f"doc_id bigint, start bigint, ids {'binary' if packed else 'array<int>'}")
 
 
 def read_shuffled(spark: SparkSession, base: str, seed: int = 0, open_files: int = 32) -> DataFrame:
@@ -407,6 +449,12 @@ def read_shuffled(spark: SparkSession, base: str, seed: int = 0, open_files: int
     return order.repartitionByRange("place", "path", "at").sortWithinPartitions("place", "path", "at").mapInArrow(run, "doc_id bigint, place bigint, ids array<int>")
 
 
-def _batch(docs: list, starts: list, parts: list, name: str = "start") -> pa.RecordBatch:
-    offsets = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))], ["doc_id", name, "ids"])
+def _batch(docs: list, starts: list, parts: list, name: str = "start", packed: bool = False) -> pa.RecordBatch:
+    values = np.concatenate(parts)
+    offsets = np.cumsum([0, *map(len, parts)])
+    if packed:
+        offsets = (offsets * 4).astype(np.int32)
+        ids = pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+    else:
+        ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), ids], ["doc_id", name, "ids"])

@@ -185,3 +185,38 @@ def test_words_with_marks_share_an_entry():
     got = [np.frombuffer(x, "<u2").tolist() for x in encoder.ids(texts)]
     assert got == [encoder.lib.encode(t, add_special_tokens=False).ids for t in texts]
     assert set(encoder.table) == {"stretta", ".", "$$$", ",###", "stretta'", "it's", "don't.", "x"}
+
+
+def test_packed_reads_hold_the_same_ids_in_fewer_tasks(spark, odd, none, tmp_path):
+    from tagloom.llm.digests import id_digests
+
+    base = f"file://{tmp_path}/p"
+    manifest = records.write_records(odd.unionByName(spark.range(600).selectExpr("id + 1000 AS doc_id", "concat('text ', id) AS text"), allowMissingColumns=True), base, WORDS, file_bytes=30)
+    files = manifest.where("path LIKE '%.rec'").count()
+    packed, plain = records.read_records(spark, base, packed=True), records.read_records(spark, base)
+    assert dict(packed.dtypes)["ids"] == "binary" and dict(plain.dtypes)["ids"] == "array<int>"
+    assert packed.rdd.getNumPartitions() == plain.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism < files
+    want = id_digests(plain.withColumn("n", F.size("ids")), "ids", crc32="crc")
+    got = packed.select("doc_id", "start", (F.octet_length("ids") / 4).cast("int").alias("n"), F.crc32("ids").alias("crc"))
+    assert got.count() == 600 + odd.count() and collections.Counter(map(tuple, got.collect())) == collections.Counter(map(tuple, want.collect()))
+    records.write_records(odd.where("text IS NULL"), f"file://{tmp_path}/q", WORDS, end_id=None)
+    assert {bytes(r.ids) for r in records.read_records(spark, f"file://{tmp_path}/q", packed=True).collect()} == {b""}
+    records.write_records(none, f"file://{tmp_path}/e", WORDS)
+    assert records.read_records(spark, f"file://{tmp_path}/e", packed=True).count() == 0
+
+
+def test_a_full_table_keeps_the_words_met_again(lib, monkeypatch):
+    monkeypatch.setattr(records, "TABLE_WORDS", 80)
+    encoder, lacked, learn = records.WordEncoder(WORDS), collections.Counter(), records.WordEncoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda new: (lacked.update(new), learn(encoder, new))[1])
+    once = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(900)]
+    texts = [" ".join(["frequent", "words.", "Éclair!!", *once[i : i + 9]]) for i in range(0, 900, 9)]
+    for text in texts:
+        assert np.frombuffer(encoder.ids([text])[0], "<u2").tolist() == lib.encode(text, add_special_tokens=False).ids
+        assert len(encoder.table) <= 80 + 13
+    assert lacked["frequent"] == 1 and lacked[once[0]] == 1
+
+
+def test_sizes_share_the_checksum_of_their_bytes():
+    sizes = [0, 1, 9, 512, 65535, 1 << 32, (1 << 64) - 1]
+    assert records._crc32c_sizes(np.array(sizes, np.uint64)) == [records.crc32c(struct.pack("<Q", n)) for n in sizes]
