@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tagloom.llm import crf, decontam, line_dedup, minhash, piece_table
 from tagloom.llm.common import materialize, remove, table, without
-from tagloom.llm.digests import id_digests
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +58,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text is an empty one, with the begin and end ids only. One row for each row, repeated or without id; none for an empty table.
     """
-    out = piece_table.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    out = out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
-    return id_digests(out, "ids", sha256="ids_sha256")
+    return piece_table.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), packed=True).select("doc_id", *piece_table.digests())
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near-dedup", near_duplicates), ("decontamination", decontaminate), ("sentencepiece", encode)]

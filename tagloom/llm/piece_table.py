@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, release, slices
@@ -68,10 +68,11 @@ class ChunkTable:
         return _CHUNKS.findall(text)
 
 
-def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", ends: bool = True) -> DataFrame:
+def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", ends: bool = True, packed: bool = False) -> DataFrame:
     """``id_col``, ``ids array<int>`` as the library encodes the whole text (with begin and end ids if ``ends``), and
     ``decoded``, what the library's decode(ids) returns.
 
+    packed: ids as little-endian unsigned 32-bit integers in a binary column, which Spark digests without a second worker.
     A null text is an empty one, with no ids but the ends. Repeated rows and null ids are kept;
     other columns are dropped, whatever their names. An empty table gives an empty table. A very long text is read whole, by one task.
     """
@@ -84,12 +85,21 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
             table.learn([c for d in docs for c in d])
             ids = [head + b"".join(map(table.ids.__getitem__, d)) + tail for d in docs]
             texts = ["".join(map(table.words.__getitem__, d))[1:] for d in docs]
-            values = np.frombuffer(b"".join(ids), np.int32)
-            offsets = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
+            if packed:
+                listed = pa.array(ids, pa.binary())
+            else:
+                offsets = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), listed, pa.array(texts, pa.string())], ["id", "ids", "decoded"])
         del table
         release()
 
     rows = pick(df, id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, ids {'binary' if packed else 'array<int>'}, decoded string").withColumnRenamed("id", id_col)
+
+
+def digests() -> list[Column]:
+    """``n_tokens``, ``decoded_sha256`` and ``ids_sha256`` of rows that encode() gave with packed ids."""
+    n = (F.octet_length("ids") / 4).cast("bigint")
+    return [n.alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.sha2("ids", 256).alias("ids_sha256")]

@@ -51,11 +51,9 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import piece_table
-    from .digests import id_digests
 
-    out = piece_table.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    out = out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
-    return id_digests(out, "ids", sha256="ids_sha256")
+    out = piece_table.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), packed=True)
+    return out.select("doc_id", *piece_table.digests())
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import importlib.util
 import struct
 import zlib
 
@@ -220,3 +221,22 @@ def test_a_full_table_keeps_the_words_met_again(lib, monkeypatch):
 def test_sizes_share_the_checksum_of_their_bytes():
     sizes = [0, 1, 9, 512, 65535, 1 << 32, (1 << 64) - 1]
     assert records._crc32c_sizes(np.array(sizes, np.uint64)) == [records.crc32c(struct.pack("<Q", n)) for n in sizes]
+
+
+def test_packed_ids_hold_the_same_ids_and_take_one_worker(spark, odd, none, tables):
+    from tagloom.llm.digests import id_digests
+
+    packed, plain = piece_table.encode(odd, PIECES, packed=True), piece_table.encode(odd, PIECES)
+    assert dict(packed.dtypes)["ids"] == "binary" and dict(plain.dtypes)["ids"] == "array<int>"
+    want = id_digests(plain.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")), "ids", sha256="ids_sha256")
+    got = packed.select("doc_id", *piece_table.digests())
+    assert got.dtypes == want.dtypes and collections.Counter(map(tuple, got.collect())) == collections.Counter(map(tuple, want.collect()))
+    assert {bytes(r.ids) for r in piece_table.encode(odd.where("text IS NULL"), PIECES, ends=False, packed=True).collect()} == {b""}
+    assert piece_table.encode(none, PIECES, packed=True).count() == 0
+    stages = [queries.op6_sentencepiece(spark, tables(documents=odd))]
+    if importlib.util.find_spec("corpus_pipeline"):
+        import corpus_pipeline
+
+        stages.append(corpus_pipeline.encode(spark, odd, ""))
+    for out in stages:
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
