@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, release, slices
+from .common import SLICE_BYTES, pick, release, slices
 
 MARK = "▁"
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 32 << 20
+#: Bytes of text whose chunks a worker lists at once; the lists take some 16 times as much.
+TEXT_BYTES = SLICE_BYTES // 4
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}]*")
 _processors: dict = {}
 
@@ -34,6 +36,13 @@ def splits_at_markers(processor) -> bool:
     return not any(MARK in p.lstrip(MARK) for p in pieces) and processor.decode(processor.encode(probe)) == probe and processor.encode("", out_type=str) == []
 
 
+class _Decoded(dict):
+    """What a chunk decodes to: itself with blanks for markers, unless it is held here."""
+
+    def __missing__(self, chunk: str) -> str:
+        return chunk.replace(MARK, " ")
+
+
 class ChunkTable:
     def __init__(self, model: str):
         if model not in _processors:
@@ -46,27 +55,38 @@ class ChunkTable:
         self.sp = _processors[model]
         self.first, self.last = self.sp.bos_id(), self.sp.eos_id()
         self.ids: dict[str, bytes] = {}
-        self.words: dict[str, str] = {}
+        self.words = _Decoded()
         self.held = 0
 
     def learn(self, chunks: list[str]) -> None:
         """Add the chunks that the table lacks; starts anew when it is full."""
         if self.held > TABLE_BYTES:
-            self.ids, self.words, self.held = {}, {}, 0
+            self.ids, self.words, self.held = {}, _Decoded(), 0
         new = list({c for c in chunks if c not in self.ids})
         # The library puts a marker before a text, so each chunk goes in without its first one.
         for c, ids in zip(new, self.sp.encode([c[1:].replace(MARK, " ") for c in new], num_threads=1)):
             if len(c) == 1:
                 ids = [self.sp.piece_to_id(MARK)]
             self.ids[c] = np.array(ids, "<i4").tobytes()
-            self.words[c] = " " + self.sp.decode(ids) if len(c) > 1 else " "
-            self.held += 400 + 5 * len(c) + 4 * len(ids)  # two entries of dictionaries, and three objects
+            self.held += 180 + 4 * len(c) + 4 * len(ids)  # an entry of the dictionary, while it grows, and two objects
+            word = " " + self.sp.decode(ids) if len(c) > 1 else " "
+            if word != c.replace(MARK, " "):
+                self.words[c] = word
+                self.held += 180 + 4 * len(word)
 
     @staticmethod
     def chunks(text: str) -> list[str]:
         text = MARK + text.replace(" ", MARK) if text else ""
         return _CHUNKS.findall(text)
 
+    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[str]]:
+        """Ids, without ends, and decoded strings. The lists of chunks, many times the size of the texts, go on return."""
+        docs = [self.chunks(t or "") for t in texts]
+        self.learn([c for d in docs for c in d])
+        plain = map(self.words.keys().isdisjoint, docs)
+        decoded = [(t or "").replace(MARK, " ") if p else "".join(map(self.words.__getitem__, d))[1:] for t, d, p in zip(texts, docs, plain)]
+        return [b"".join(map(self.ids.__getitem__, d)) for d in docs], decoded
+
 
 def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", ends: bool = True, packed: bool = False) -> DataFrame:
     """``id_col``, ``ids array<int>`` as the library encodes the whole text (with begin and end ids if ``ends``), and
@@ -80,11 +100,9 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model)
         head, tail = (np.array([i] if ends else [], "<i4").tobytes() for i in (table.first, table.last))
-        for batch in slices(batches, "text"):
-            docs = [table.chunks(t or "") for t in batch.column(1).to_pylist()]
-            table.learn([c for d in docs for c in d])
-            ids = [head + b"".join(map(table.ids.__getitem__, d)) + tail for d in docs]
-            texts = ["".join(map(table.words.__getitem__, d))[1:] for d in docs]
+        for batch in slices(batches, "text", TEXT_BYTES):
+            ids, texts = table.encode(batch.column(1).to_pylist())
+            ids = [head + x + tail for x in ids]
             if packed:
                 listed = pa.array(ids, pa.binary())
             else:

@@ -240,3 +240,16 @@ def test_packed_ids_hold_the_same_ids_and_take_one_worker(spark, odd, none, tabl
         stages.append(corpus_pipeline.encode(spark, odd, ""))
     for out in stages:
         assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_chunks_that_decode_to_themselves_hold_no_string(sp, odd, monkeypatch):
+    table = piece_table.ChunkTable(PIECES)
+    table.encode(["plain words  in a text.", None, ""])
+    assert len(table.ids) == 5 and not table.words
+    texts = [r.text or "" for r in odd.collect()]
+    for limit in (piece_table.TABLE_BYTES, 0):
+        monkeypatch.setattr(piece_table, "TABLE_BYTES", limit)
+        for part in ([t] for t in texts):
+            ids, decoded = table.encode(part)
+            assert [np.frombuffer(x, "<i4").tolist() for x in ids] == [sp.encode(t) for t in part]
+            assert decoded == [sp.decode(sp.encode(t)) for t in part]
