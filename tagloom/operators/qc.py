@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.reads import read_id
 from ..plans.config import Options, Sheet
+from ..sources.shared import scratch
 from .match import match
 
 
@@ -78,18 +79,37 @@ def representative_samples(counts: DataFrame) -> DataFrame:
     return ranked.withColumn("which", which).where("which is not null").select("which", "label", "count")
 
 
+#: Places that are put in order together, as a power of two.
+STRETCH = 16
+
+
+def out_of_order(rows: DataFrame) -> DataFrame:
+    """out_of_order: how many rows (label, place, ord) have a lower ord than one of a lower place of their label. Places are whole numbers.
+
+    One label may have most rows, so no task takes a label: rows are dealt by stretches of 2**STRETCH places. What precedes a stretch comes
+    from the highest ord of each stretch before it.
+    """
+    from pyspark.sql import Window
+
+    before = lambda *keys: Window.partitionBy(keys[0]).orderBy(keys[1]).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select(F.struct("label", F.shiftright("place", STRETCH).alias("at")).alias("stretch"), "place", "ord")  # a struct, as = on it holds for nulls
+    tops = rows.groupBy("stretch").agg(F.max("ord").alias("top"))
+    tops = tops.select("stretch", F.max("top").over(before("stretch.label", "stretch.at")).alias("carry"))  # a row for each stretch
+    rows = rows.withColumn("near", F.max("ord").over(before("stretch", "place"))).join(tops, "stretch", "left")
+    return rows.agg(F.count_if(F.col("ord") < F.greatest("near", "carry")).alias("out_of_order"))
+
+
 def verify_output(raw: DataFrame, out: DataFrame, sheet: Sheet, counts: DataFrame) -> DataFrame:
     """problem and count of everything wrong with the output of a paired run that cuts barcodes, for five checks:
 
     mates whose ids differ; samples whose records are not as many as counts (label, count) say; pairs that the input lacks; pairs that follow
     one of a later place in the input; mates that are no prefix of the input's, in order and without its barcodes.
-    raw: ord and r1_*, r2_*; out: label, place (of a record in its sample's files), r1_name, r1_seq, r2_name, r2_seq.
+    raw: ord and r1_*, r2_*; out: label, place (of a record in its sample's files), r1_name, r1_seq, r2_name, r2_seq. What the checks find of
+    each record is written to the shared folder first.
     """
-    from pyspark.sql import Window
-
     own = out.withColumn("id", read_id(F.col("r1_name")))
     source = raw.select(read_id(F.col("r1_name")).alias("id"), "ord", F.col("r1_seq").alias("x1"), F.col("r2_seq").alias("x2"))
-    rows = own.join(source, "id", "left").withColumn("last", F.max("ord").over(Window.partitionBy("label").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)))
+    rows = own.join(source, "id", "left")
     codes = sheet.samples
     table = out.sparkSession.createDataFrame([(s.label, s.barcode1.raw, s.barcode2.raw) for s in codes], "label string, b1 string, b2 string")
     rows = rows.join(F.broadcast(table), "label", "left")  # a row for each sample
@@ -102,11 +122,14 @@ def verify_output(raw: DataFrame, out: DataFrame, sheet: Sheet, counts: DataFram
     checks = {
         "mate_ids": F.col("id") != read_id(F.col("r2_name")),
         "not_in_input": F.col("x1").isNull(),
-        "out_of_order": F.col("ord") < F.col("last"),
         "no_prefix": here & ~((plain | swapped) & fits),
     }
-    found = rows.agg(*[F.count_if(c).alias(n) for n, c in checks.items()])
-    long = found.select(F.explode(F.array(*[F.struct(F.lit(n).alias("problem"), F.col(n).alias("count")) for n in checks])).alias("x")).select("x.*")
+    path = scratch(out.sparkSession, "verify")  # three passes need the joined rows, and files are read afresh by each plan
+    rows.select("label", "place", "ord", *[c.alias(n) for n, c in checks.items()]).write.parquet(path)
+    rows = out.sparkSession.read.parquet(path)
+    found = rows.agg(*[F.count_if(F.col(n)).alias(n) for n in checks]).crossJoin(F.broadcast(out_of_order(rows)))  # a row each
+    names = ("mate_ids", "not_in_input", "out_of_order", "no_prefix")
+    long = found.select(F.explode(F.array(*[F.struct(F.lit(n).alias("problem"), F.col(n).alias("count")) for n in names])).alias("x")).select("x.*")
     written = out.groupBy("label").agg(F.count("*").alias("count"))
     wrong = compare_counts(counts, written).agg(F.count_if(F.col("difference") != 0).alias("count")).select(F.lit("counts").alias("problem"), "count")
     return long.unionByName(wrong)

@@ -355,3 +355,49 @@ def test_reader_by_arrow_against_the_plain_loop(tmp_path):
             assert got == want if not isinstance(want[-1:][0] if want else None, str) else got[-1] == want[-1] and got[:-1] == want[: len(got) - 1], (name, size)
     ids = ["a/1", "a b/1", "a\tb", "a/2 c", "/1", "", "x/3"]
     assert fastq.plain_ids(__import__("pyarrow").array(ids)).to_pylist() == [fastq.plain_id(x) for x in ids]
+
+
+def test_order_of_output_by_stretches_against_the_loop(spark, monkeypatch):
+    rng = random.Random(17)
+    rows = [(rng.choice(["a", "a", "a", "b", "", None]), place + k * fastq.FILE_STEP, None if rng.random() < 0.1 else place * 3 + rng.choice([0, 0, 0, -40, 400])) for k in (-1, 0, 2) for place in range(300)]
+    rng.shuffle(rows)
+    last, want = {}, 0
+    for label, _, ord_ in sorted(rows, key=lambda r: r[1]):
+        if ord_ is not None:
+            want += ord_ < last.get(label, ord_)
+            last[label] = max(ord_, last.get(label, ord_))
+    df = spark.createDataFrame(rows, "label string, place bigint, ord bigint")
+    for stretch in (0, 3, 16):
+        monkeypatch.setattr(qc, "STRETCH", stretch)
+        assert qc.out_of_order(df).first()[0] == want > 100
+    assert qc.out_of_order(df.limit(0)).first()[0] == 0
+
+
+def test_no_task_of_the_output_checks_takes_a_whole_label(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(qc, "STRETCH", 8, raising=False)
+    n, sc = 20_000, spark.sparkContext
+    raw = spark.range(n).select(F.col("id").alias("ord"), *[x for m in "12" for x in (F.concat(F.lit("r"), "id", F.lit(f"/{m}")).alias(f"r{m}_name"), F.lit("ACGTTGCA").alias(f"r{m}_seq"))])
+    # Every 50th pair stands 1,000 places later than it should, so that it follows later ones.
+    out = raw.select(F.when(F.col("ord") % 50 == 0, F.col("ord") * 2 + 2_001).otherwise(F.col("ord") * 2).alias("place"), F.lit("unassigned").alias("label"), "r1_name", "r1_seq", "r2_name", "r2_seq")
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("output checks", "")
+        counts = spark.createDataFrame([("unassigned", n)], "label string, count bigint")
+        got = {r.problem: r["count"] for r in qc.verify_output(raw, out, sheet(("ACGTACGT", "TTTTGGGG")), counts).collect()}
+    finally:
+        sc._jsc.clearJobGroup()
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {"mate_ids": 0, "not_in_input": 0, "out_of_order": n // 50, "no_prefix": 0, "counts": 0}
+    tracker, store, most = sc.statusTracker(), sc._jsc.sc().statusStore(), 0
+    for stage in {s for j in tracker.getJobIdsForGroup("output checks") for s in tracker.getJobInfo(j).stageIds}:
+        tasks = store.taskList(stage, 0, 1000)
+        for i in range(tasks.size()):
+            if (metrics := tasks.apply(i).taskMetrics()).isDefined():
+                most = max(most, metrics.get().shuffleReadMetrics().recordsRead())
+    assert n // 16 < most < n // 3  # of a side of the join, a 16th each
