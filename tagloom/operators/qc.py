@@ -80,11 +80,11 @@ def representative_samples(counts: DataFrame) -> DataFrame:
 
 
 #: Places that are put in order together, as a power of two.
-STRETCH = 16
+STRETCH = 12
 
 
-def out_of_order(rows: DataFrame) -> DataFrame:
-    """out_of_order: how many rows (label, place, ord) have a lower ord than one of a lower place of their label. Places are whole numbers.
+def with_last(rows: DataFrame) -> DataFrame:
+    """rows (label, place, ord and others) and last: the highest ord among those of lower places of their label. Places are whole numbers.
 
     One label may have most rows, so no task takes a label: rows are dealt by stretches of 2**STRETCH places. What precedes a stretch comes
     from the highest ord of each stretch before it.
@@ -92,11 +92,12 @@ def out_of_order(rows: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     before = lambda *keys: Window.partitionBy(keys[0]).orderBy(keys[1]).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select(F.struct("label", F.shiftright("place", STRETCH).alias("at")).alias("stretch"), "place", "ord")  # a struct, as = on it holds for nulls
+    names = rows.columns
+    rows = rows.withColumn("stretch", F.struct("label", F.shiftright("place", STRETCH).alias("at"))).drop("label")  # a struct, as = on it holds for nulls
     tops = rows.groupBy("stretch").agg(F.max("ord").alias("top"))
     tops = tops.select("stretch", F.max("top").over(before("stretch.label", "stretch.at")).alias("carry"))  # a row for each stretch
     rows = rows.withColumn("near", F.max("ord").over(before("stretch", "place"))).join(tops, "stretch", "left")
-    return rows.agg(F.count_if(F.col("ord") < F.greatest("near", "carry")).alias("out_of_order"))
+    return rows.withColumns({"label": F.col("stretch.label"), "last": F.greatest("near", "carry")}).select(*names, "last")
 
 
 def verify_output(raw: DataFrame, out: DataFrame, sheet: Sheet, counts: DataFrame) -> DataFrame:
@@ -124,12 +125,13 @@ def verify_output(raw: DataFrame, out: DataFrame, sheet: Sheet, counts: DataFram
         "not_in_input": F.col("x1").isNull(),
         "no_prefix": here & ~((plain | swapped) & fits),
     }
-    path = scratch(out.sparkSession, "verify")  # three passes need the joined rows, and files are read afresh by each plan
-    rows.select("label", "place", "ord", *[c.alias(n) for n, c in checks.items()]).write.parquet(path)
-    rows = out.sparkSession.read.parquet(path)
-    found = rows.agg(*[F.count_if(F.col(n)).alias(n) for n in checks]).crossJoin(F.broadcast(out_of_order(rows)))  # a row each
-    names = ("mate_ids", "not_in_input", "out_of_order", "no_prefix")
-    long = found.select(F.explode(F.array(*[F.struct(F.lit(n).alias("problem"), F.col(n).alias("count")) for n in names])).alias("x")).select("x.*")
+    path = scratch(out.sparkSession, "verify")  # two passes need the joined rows, and files are read afresh by each plan
+    rows = rows.select("label", "place", "ord", *[c.alias(n) for n, c in checks.items()])
+    rows.write.parquet(path)
+    rows = with_last(out.sparkSession.read.schema(rows.schema).parquet(path))
+    checks = {n: F.col(n) for n in checks} | {"out_of_order": F.col("ord") < F.col("last")}
+    found = rows.agg(*[F.count_if(c).alias(n) for n, c in checks.items()])
+    long = found.select(F.explode(F.array(*[F.struct(F.lit(n).alias("problem"), F.col(n).alias("count")) for n in ("mate_ids", "not_in_input", "out_of_order", "no_prefix")])).alias("x")).select("x.*")
     written = out.groupBy("label").agg(F.count("*").alias("count"))
     wrong = compare_counts(counts, written).agg(F.count_if(F.col("difference") != 0).alias("count")).select(F.lit("counts").alias("problem"), "count")
     return long.unionByName(wrong)
